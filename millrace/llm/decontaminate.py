@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import stage, table, text_key
-from .words import Words, char_starts, lists, pieces, raw, signed, strings
+from .words import WORD_RE2, Words, char_starts, pieces, signed, strings
 
 N, MIN_WORDS, MAX_SHARE = 8, 5, 0.5
 BROADCAST_GRAMS = 4_000_000
@@ -249,3 +249,19 @@ def decontaminated(docs: DataFrame, bench: DataFrame, n: int = N, min_words: int
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE_SQL = f"""
+WITH b AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '{WORD_RE2}') AS w FROM benchmark WHERE text IS NOT NULL),
+bg AS (SELECT DISTINCT item_id, least(len(w), {N}) AS n, unnest(list_transform(generate_series(1, len(w) - least(len(w), {N}) + 1), lambda i: array_to_string(list_slice(w, i, i + least(len(w), {N}) - 1), ' '))) AS g FROM b WHERE len(w) >= {MIN_WORDS}),
+d AS (SELECT DISTINCT doc_id, text, regexp_extract_all(lower(text), '{WORD_RE2}') AS w FROM documents WHERE text IS NOT NULL),
+dg AS (SELECT doc_id, text, len(w) AS size, n, i - 1 AS s, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g
+       FROM (SELECT doc_id, text, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM d, (SELECT DISTINCT n FROM bg))),
+h AS (SELECT DISTINCT doc_id, text, size, item_id, s, s + bg.n AS e FROM dg JOIN bg ON dg.g = bg.g AND dg.n = bg.n),
+m AS (SELECT *, max(e) OVER (PARTITION BY doc_id, text, item_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM h),
+x AS (SELECT *, sum(CASE WHEN s <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, text, item_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS span FROM m),
+c AS (SELECT doc_id, text, count(DISTINCT p) AS covered FROM (SELECT doc_id, text, unnest(generate_series(s, e - 1)) AS p FROM h) GROUP BY ALL)
+SELECT DISTINCT x.doc_id, item_id, CAST(min(s) AS INTEGER) AS start_word, CAST(max(e) AS INTEGER) AS end_word, CAST(any_value(size) AS BIGINT) AS doc_words,
+  CASE WHEN any_value(covered) > {MAX_SHARE} * any_value(size) THEN 'remove_document' ELSE 'remove_spans' END AS action
+FROM x JOIN c ON x.doc_id IS NOT DISTINCT FROM c.doc_id AND x.text = c.text GROUP BY x.doc_id, x.text, item_id, span
+"""

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import table
-from .words import Words, ngram_of, pieces, raw, strings
+from .words import WORD_RE2, Words, ngram_of, pieces, raw, strings
 
 CLASSES = ("upper", "lower", "digit", "space", "punct", "other")
 COMMON = {
@@ -151,3 +151,32 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.col("__mr_chars").alias("chars"), F.col("__mr_words").alias("words"), F.round("__mr_char_jsd", 4).alias("char_jsd"), F.round("__mr_word_jsd", 4).alias("word_jsd"),
         F.col("__mr_reason").alias("reason"), (~F.col("__mr_reason").isin("characters", "words")).alias("keep"),
     )
+
+
+_R = Rules()
+_LISTED = ", ".join(f"('{lang}', '{w}', {i})" for lang, words in COMMON.items() for i, w in enumerate(words))
+_REMOVED = {"upper": "[^A-Z]", "lower": "[^a-z]", "digit": "[^0-9]", "space": r"[^\t\n\x0b\f\r ]", "punct": r"[A-Za-z0-9\t\n\x0b\f\r ]|[^\x00-\x7f]", "other": r"[\x00-\x7f]"}
+_LN = "CASE WHEN {0} > 0 THEN {0} * log2(2 * {0} / ({0} + {1})) ELSE 0 END"
+ORACLE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, lang, coalesce(text, '') AS text FROM documents),
+common(lang, word, b) AS (VALUES {_LISTED}),
+words AS (SELECT id, lang, unnest(regexp_extract_all(lower(text), '{WORD_RE2}')) AS word FROM d),
+hits AS (SELECT w.id, w.lang, coalesce(c.b, {N_COMMON}) AS b, count(*) AS n FROM words w LEFT JOIN common c ON w.lang = c.lang AND w.word = c.word GROUP BY ALL),
+kinds AS (SELECT id, lang, text, b, CAST(n AS BIGINT) AS n FROM (
+  SELECT id, lang, text, unnest([{", ".join(f"length(regexp_replace(text, '{r}', '', 'g'))" for r in _REMOVED.values())}]) AS n, unnest([0, 1, 2, 3, 4, 5]) AS b FROM d)),
+both_ AS (SELECT 'c' AS t, id, lang, b, n FROM kinds UNION ALL SELECT 'w', id, lang, b, n FROM hits),
+ref AS (SELECT t, lang, b, sum(n) AS r FROM both_ GROUP BY ALL),
+tot AS (SELECT t, lang, sum(r) AS rt FROM ref GROUP BY ALL),
+own AS (SELECT t, id, sum(n) AS nt FROM both_ GROUP BY ALL),
+pq AS (SELECT ref.t, d.id, own.nt, tot.rt, coalesce(both_.n, 0) / own.nt AS p, ref.r / tot.rt AS q
+  FROM d JOIN ref ON ref.lang IS NOT DISTINCT FROM d.lang JOIN tot ON tot.t = ref.t AND tot.lang IS NOT DISTINCT FROM d.lang
+  JOIN own ON own.t = ref.t AND own.id = d.id LEFT JOIN both_ ON both_.t = ref.t AND both_.id = d.id AND both_.b = ref.b WHERE own.nt > 0),
+j AS (SELECT t, id, any_value(nt) AS nt, any_value(rt) AS rt, sum({_LN.format("p", "q")} + {_LN.format("q", "p")}) / 2 AS jsd FROM pq GROUP BY t, id),
+s AS (SELECT d.doc_id, coalesce(c.nt, 0) AS chars, coalesce(w.nt, 0) AS words,
+  CASE WHEN c.nt >= {_R.min_chars} AND c.rt >= {_R.min_reference} THEN c.jsd END AS char_jsd,
+  CASE WHEN d.lang IN ({", ".join(f"'{x}'" for x in COMMON)}) AND w.nt >= {_R.min_words} AND w.rt >= {_R.min_reference} THEN w.jsd END AS word_jsd
+  FROM d LEFT JOIN j c ON c.id = d.id AND c.t = 'c' LEFT JOIN j w ON w.id = d.id AND w.t = 'w'),
+v AS (SELECT *, CASE WHEN char_jsd IS NULL AND word_jsd IS NULL THEN 'short' WHEN char_jsd > {_R.char_limit} THEN 'characters'
+  WHEN word_jsd > {_R.word_limit} + {_R.chance} * {N_COMMON} / (8 * 0.6931471805599453 * words) THEN 'words' ELSE 'kept' END AS reason FROM s)
+SELECT doc_id, CAST(chars AS BIGINT) AS chars, CAST(words AS BIGINT) AS words, round(char_jsd, 4) AS char_jsd, round(word_jsd, 4) AS word_jsd, reason, reason NOT IN ('characters', 'words') AS keep FROM v
+"""

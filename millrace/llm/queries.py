@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, linededup, packing, quality
+from . import chatformat, decontaminate, jaccard, langid, licenses, linededup, packing, pii, quality, suffix
 
 _OPS = {
+    "op1_license_scan": licenses,
+    "op2_pii_crf": pii,
     "op3_quality_rules": quality,
     "op4_line_dedup": linededup,
     "op5_best_fit_packing": packing,
+    "op6_suffix_array_dedup": suffix,
     "op7_ngram_jaccard_join": jaccard,
+    "op8_language_id": langid,
     "op9_benchmark_decontamination": decontaminate,
+    "op10_chat_format": chatformat,
 }
 
 
