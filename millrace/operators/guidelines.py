@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import text as T
 from . import dedup, lang
@@ -177,7 +178,7 @@ def idsa(a: Article) -> dict[str, Column]:
     return {"title": title, "text": F.when(~draft & (F.size(T.lines(out)) >= 5), out), "url": a.col("url")}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _magic_headers(s):  # noqa: ANN001
     """A line between two lines of digits is a header; the walk skips what it has used, so it is no window."""
 

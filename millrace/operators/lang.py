@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UNKNOWN = "unknown"
 FREQUENT = {
@@ -35,7 +36,7 @@ def guess(text: str | None) -> str:
 _SETS = {k: frozenset(v.split()) for k, v in FREQUENT.items()}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _detect(s: pd.Series) -> pd.Series:
     return s.map(guess)
 
