@@ -6,7 +6,7 @@ Java's ``(?U)``, and ``.`` stops at line feeds only, ``(?d)``.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,14 +17,19 @@ BULLET = "•"
 PRIVATE_BULLET = ""
 
 
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c), with c computed once however often f reads it: Catalyst copies a column to each place that names it, and
+    plans and work would grow with every step."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.trim(c, F.lit(BLANKS))
 
 
 def words(c: Column) -> Column:
     """Python's str.split(): parts between runs of blanks, none for blank text."""
-    inner = strip(c)
-    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, f"[{BLANKS}]+"))
+    return let(strip(c), lambda x: F.when(x == "", F.array().cast("array<string>")).otherwise(F.split(x, f"[{BLANKS}]+")))
 
 
 def lines(c: Column) -> Column:
@@ -72,10 +77,14 @@ def remove_references(c: Column) -> Column:
 
 def normalize_sections(c: Column, most: int = 3) -> Column:
     """Headers of the lowest level in the text become one #, none has more than ``most``."""
-    runs = F.regexp_extract_all(c, F.lit("\n#+"), F.lit(0))
-    least = F.array_min(F.transform(runs, lambda x: F.length(x) - 1))
-    level = F.replace(c, F.concat(F.lit("\n"), F.repeat(F.lit("#"), F.coalesce(least, F.lit(1)))), F.lit("\n#"))
-    return F.when(c.contains("\n#"), sub(level, "\n#{%d,}" % most, "\n" + "#" * most)).otherwise(c)
+
+    def to(c: Column) -> Column:
+        runs = F.regexp_extract_all(c, F.lit("\n#+"), F.lit(0))
+        least = F.array_min(F.transform(runs, lambda x: F.length(x) - 1))
+        level = F.replace(c, F.concat(F.lit("\n"), F.repeat(F.lit("#"), F.coalesce(least, F.lit(1)))), F.lit("\n#"))
+        return F.when(c.contains("\n#"), sub(level, "\n#{%d,}" % most, "\n" + "#" * most)).otherwise(c)
+
+    return let(c, to)
 
 
 def normalize_lists(c: Column) -> Column:
@@ -126,24 +135,15 @@ def truncate(c: Column, starters: Sequence[str] = (), removers: Sequence[str] =
     # one struct a line: each line is looked at once, however often the flags are read
     marked = F.transform(lines(c), lambda x: F.struct(x.alias("x"), any_of(x, starters).alias("s"), any_of(x, removers).alias("r"), any_of(x, stoppers).alias("p"), (forms(x)[3] == "").alias("b")))
 
-    def fold(acc: Column, m: Column) -> Column:
-        start = m.s & ~acc.started
-        live = ~acc.done
-        stop = live & ~start & ~m.r & m.p
-        keep = live & ~start & ~m.r & ~m.p & ~m.b
-        return F.struct(
-            F.when(live & start, F.array(m.x)).when(keep, F.concat(acc.out, F.array(m.x))).otherwise(acc.out).alias("out"),
-            (acc.started | (live & start)).alias("started"),
-            (acc.done | stop).alias("done"),
-        )
-
-    if starters:
-        zero = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("started"), F.lit(False).alias("done"))
-        kept = F.aggregate(marked, zero, fold)["out"]
-    else:  # without a starter the fold is a cut and a filter
-        stop = F.array_position(F.transform(marked, lambda m: m.p & ~m.r), True)
-        upto = F.when(stop > 0, F.slice(marked, F.lit(1), (stop - 1).cast("int"))).otherwise(marked) if stoppers else marked
-        kept = F.transform(F.filter(upto, lambda m: ~m.r & ~m.b), lambda m: m.x)
+    # places count from 1, 0 is none: where the text starts, and the first stop other than there
+    start = lambda m: F.array_position(F.transform(m, lambda y: y.s), True) if starters else F.lit(0).cast("long")
+    stop = lambda m, a: F.array_position(F.transform(m, lambda y, i: y.p & ~y.r & (i + 1 != a)), True) if stoppers else F.lit(0).cast("long")
+
+    def live(y: Column, i: Column, a: Column, b: Column) -> Column:
+        plain, n = ~y.r & ~y.b, i + 1
+        return ((b == 0) | (n < b)) & F.when((a == 0) | ((b > 0) & (b < a)), plain).otherwise((n == a) | ((n > a) & plain))
+
+    kept = let(marked, lambda m: let(start(m), lambda a: let(stop(m, a), lambda b: F.transform(F.filter(m, lambda y, i: live(y, i, a, b)), lambda y: y.x))))
     return F.when(c.isNotNull(), strip(F.array_join(kept, "\n")))
 
 

@@ -130,7 +130,7 @@ def cps(a: Article) -> dict[str, Column]:
     drop = _phrases("Key words:; Keywords:; Figure; |; The Canadian Paediatric Society gives permission")
     body = T.truncate(a.text, ["### Abstract"], drop, _phrases("Current:  About CPS position; Selected resources; Acknowledgements"))
     out = T.clean(_lines(body, lambda x: (_n_words(x) >= 3) & ~T.contains_any(x, drop), T.strip))
-    return {"text": F.when(F.size(T.lines(out)) >= 3, out)}
+    return {"text": T.let(out, lambda x: F.when(F.size(T.lines(x)) >= 3, x))}
 
 
 def drugs(a: Article) -> dict[str, Column]:
@@ -149,7 +149,7 @@ def gc(a: Article) -> dict[str, Column]:
     head = lambda x: T.is_upper(core(x)) & (F.length(core(x)) > 2)
     rows = F.filter(F.transform(T.lines(body), T.strip), lambda x: x != "(c)")
     out = T.clean(T.unlines(F.transform(rows, lambda x: F.when(head(x), F.concat(F.lit("\n# "), x)).otherwise(x))))
-    return {"title": quotes(F.when(named, "").otherwise(T.strip(a.title))), "text": F.when(enough(out, 3), out)}
+    return {"title": quotes(F.when(named, "").otherwise(T.strip(a.title))), "text": T.let(out, lambda x: F.when(enough(x, 3), x))}
 
 
 def icrc(a: Article) -> dict[str, Column]:
@@ -175,7 +175,7 @@ def idsa(a: Article) -> dict[str, Column]:
         out = F.replace(out, F.lit(old), F.lit(new))
     out = T.clean(out)
     draft = a.text.contains("This new guideline is currently in development")
-    return {"title": title, "text": F.when(~draft & (F.size(T.lines(out)) >= 5), out), "url": a.col("url")}
+    return {"title": title, "text": T.let(out, lambda x: F.when(~draft & (F.size(T.lines(x)) >= 5), x)), "url": a.col("url")}
 
 
 @F.pandas_udf(StringType())
@@ -253,7 +253,7 @@ def wikidoc(a: Article) -> dict[str, Column]:
     rows = F.aggregate(T.lines(body), F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("skip")), fold)["out"]
     out = T.clean(T.sub(T.unlines(rows), "(?d)Redirect to.*"))
     urls = F.col("urls") if "urls" in a.df.columns else F.array(a.col("url"))
-    return {"title": a.title, "url": F.get(urls, F.lit(0)), "text": F.when(enough(out, 3), out)}
+    return {"title": a.title, "url": F.get(urls, F.lit(0)), "text": T.let(out, lambda x: F.when(enough(x, 3), x))}
 
 
 PROCESSORS: dict[str, Processor] = {f.__name__: f for f in (aafp, cco, cdc, cdc_diseases, cma, cma_pdfs, cps, drugs, gc, icrc, idsa, magic, mayo, nice, rch, spor, who, wikidoc)}
@@ -264,11 +264,13 @@ RECORD = ("source", "title", "clean_text", "raw_text", "url", "overview")
 def process(df: DataFrame, source: str) -> DataFrame:
     """``df`` and the canonical record: source is the name up to its first underscore, raw_text what came in."""
     made = PROCESSORS[ALIASES.get(source, source)](Article(df))
+    # the text comes out of a generator, not through a filter, which would be pushed below and have it computed twice
     raw = next((F.col(c) for c in ("content", "text") if c in df.columns), F.lit(None))
     kind = df.schema[next(c for c in ("content", "text") if c in df.columns)].dataType.typeName()
     none = F.lit(None).cast("string")
-    out = {"source": F.lit(source.split("_")[0]), "title": made.get("title", none), "clean_text": made["text"], "raw_text": raw if kind == "string" else F.to_json(raw), "url": made.get("url", none), "overview": made.get("overview", none)}
-    return df.select(*[F.col(c) for c in df.columns if c not in RECORD], *[c.alias(n) for n, c in out.items()]).filter(F.col("clean_text").isNotNull())
+    out = {"source": F.lit(source.split("_")[0]), "title": made.get("title", none), "clean_text": F.array_compact(F.array(made["text"])), "raw_text": raw if kind == "string" else F.to_json(raw), "url": made.get("url", none), "overview": made.get("overview", none)}
+    made = df.select(*[F.col(c) for c in df.columns if c not in RECORD], *[c.alias(n) for n, c in out.items()])
+    return made.select(*[F.explode(c).alias(c) if c == "clean_text" else F.col(c) for c in made.columns])
 
 
 def build(df: DataFrame, source: str, order: str, english_only: bool = True, min_chars: int = 10) -> DataFrame:
