@@ -90,6 +90,9 @@ class Model:
 
     def __init__(self, langs: list[str], texts: list[list[str]]):
         self.langs = langs
+        self.limits = np.full((len(langs), 3), np.inf)
+        if not langs:
+            return
         counts: list[dict[int, tuple[np.ndarray, np.ndarray]]] = []
         for mine in texts:
             s, first = symbols(strings(pa.array(mine, pa.large_string())))
@@ -123,7 +126,6 @@ class Model:
             below = np.full((1, L), 1 / 256) if n == 1 else lower[np.searchsorted(self.keys[n - 1], self.keys[n] & np.uint64((1 << (8 * (n - 1))) - 1))]
             lower = p + w[ctx] * below
             self.logp[n], self.weight[n] = np.log2(lower).astype(np.float32), np.log2(w).astype(np.float32)
-        self.limits = np.full((L, 3), np.inf)
 
     def log2(self, codes: np.ndarray, n: int = ORDER) -> np.ndarray:
         """A row of log2 probabilities a code."""
@@ -201,7 +203,7 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_DOCS) -> Model:
     rows = sorted({(r["lang"], r["rank"], r["text"]) for r in sample(docs, per_language).collect()})
     langs = sorted({r[0] for r in rows})
     part = lambda held: [[t for lang, k, t in rows if lang == x and (k % 5 == 0) == held] for x in langs]
-    model = Model(langs, [a or b for a, b in zip(part(False), part(True))]) if langs else Model([], [[]])
+    model = Model(langs, [a or b for a, b in zip(part(False), part(True))]) if langs else Model([], [])
     if langs:
         model.calibrate(part(True))
     return model
