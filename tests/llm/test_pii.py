@@ -1,0 +1,65 @@
+from __future__ import annotations
+
+import itertools
+
+import brute
+import numpy as np
+import pyarrow as pa
+import pytest
+from millrace.llm import pii
+from oracle import SF
+
+
+@pytest.fixture(scope="module")
+def model():
+    return pii.train(pii.labelled_sentences())
+
+
+def test_held_out_accuracy(model):
+    hit = said = there = 0
+    for s in pii.labelled_sentences(400, seed=987):
+        y = model.viterbi(model.scores([t for t, _ in s]))
+        for k, (_, gold) in zip(y, s):
+            hit += gold != "O" and pii.LABELS[k] == gold
+            said += k > 0
+            there += gold != "O"
+    assert hit / said > 0.97 and hit / there > 0.97
+
+
+def test_viterbi_is_the_best_path():
+    rng = np.random.default_rng(3)
+    n = len(pii.LABELS)
+    crf = pii.Crf({}, {"?": 0, "^": 1, "w": 2}, np.zeros((1, n)), np.zeros((3, n)), np.zeros((3, n)), rng.normal(size=(n, n)))
+    for length in (1, 2, 3):
+        e = rng.normal(size=(length, n)) * 2
+        score = lambda p: sum(e[i, y] for i, y in enumerate(p)) + sum(crf.trans[a, b] for a, b in itertools.pairwise(p))  # noqa: E731, B023
+        assert tuple(crf.viterbi(e)) == max(itertools.product(range(n), repeat=length), key=score)
+
+
+def test_cut_decoding_is_whole_decoding(model):
+    """Decoding between certain tokens gives what decoding of the whole text gives."""
+    texts = [" ".join(t for t, _ in s) for s in pii.labelled_sentences(300, seed=5)]
+    texts = [" ".join(texts[i : i + 7]) for i in range(0, len(texts), 7)]
+    got = {}
+    for r, _, s, e, _ in pii.decode(model, pa.array(texts, pa.large_string())):
+        got.setdefault(r, []).append((s, e))
+    for i, t in enumerate(texts):
+        tokens = t.split()
+        y = model.viterbi(model.scores(tokens))
+        assert len(got.get(i, [])) == sum(1 for j, k in enumerate(y) if k and not (k % 2 == 0 and j and y[j - 1] and (y[j - 1] - 1) // 2 == (k - 1) // 2))
+
+
+def test_spans_and_edges(spark, model):
+    long = "plain words here " * 40_000 + "jo.12@mail3.example.com, end"
+    rows = [(1, "mail jo.do@host2.site.com now"), (1, "mail jo.do@host2.site.com now"), (2, None), (3, ""), (None, "call +1 (555) 123-4567 now"), (4, "at 10.20.30.40, and 12:30 on 2024-01-02"), (5, long), (6, "nothing to see here."), (7, "héllo wörld jo.do@host2.site.com")]
+    got = sorted(((r.doc_id, r.kind, r.start, r.value) for r in pii.personal_data(brute.table(spark, rows).selectExpr("*", "1 as kind", "2 as value"), model).collect()), key=repr)
+    want = [(1, "EMAIL", 5, "jo.do@host2.site.com")] * 2 + [(4, "IP", 3, "10.20.30.40"), (5, "EMAIL", len(long) - 29, "jo.12@mail3.example.com"), (7, "EMAIL", 12, "jo.do@host2.site.com"), (None, "PHONE", 5, "+1 (555) 123-4567")]
+    want[3] = (5, "EMAIL", long.index("jo.12"), "jo.12@mail3.example.com")
+    assert got == sorted(want, key=repr)
+    assert pii.personal_data(brute.table(spark, []), model).count() == 0
+
+
+def test_query(spark):
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = pii.query(spark, SF).collect()
+    assert rows and all(text[r.doc_id][r.start : r.end] == r.value for r in rows)
