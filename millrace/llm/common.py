@@ -42,6 +42,8 @@ def text_key(text: Column | str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
 
 
-def small(df: DataFrame, limit_rows: int) -> bool:
-    """Whether a staged table has at most so many rows (it decides only how a join runs, never its result)."""
-    return df.count() <= limit_rows
+def small(df: DataFrame, limit_rows: int, elements: str | None = None) -> bool:
+    """Whether a staged table has at most so many rows, and its array column four times as many elements (it decides
+    only how a join runs, never its result)."""
+    n, m = df.agg(F.count("*"), F.sum(F.size(elements)) if elements else F.lit(0)).first()
+    return n <= limit_rows and (m or 0) <= 4 * limit_rows

@@ -23,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, text_key
+from .common import small, stage, table, text_key
 from .words import offsets, pieces, raw, strings
 
 ORDER = 4
 SAMPLE_DOCS = 400
 MIN_CHARS = 12
+#: Samples of at most so many rows find their texts by broadcast; larger ones in a shuffle, to the same effect.
+BROADCAST_ROWS = 200_000
 #: How far above the held-out mean a text may lie: spread between texts, and of single characters.
 SPREAD, NOISE = 4.0, 4.0
 UND = "und"
@@ -194,8 +196,8 @@ def sample(docs: DataFrame, per_language: int = SAMPLE_DOCS) -> DataFrame:
     d = docs.filter("lang is not null and text is not null and length(text) > 0")
     h = F.xxhash64(F.col("doc_id"), text_key())
     ids = d.select("lang", h.alias("h")).distinct().withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("rank") <= per_language)
-    ids = ids.select(F.col("lang").alias("__mr_lang"), F.col("h").alias("__mr_h"), "rank")
-    return d.select("lang", "text", h.alias("h")).join(F.broadcast(ids), (F.col("lang") == F.col("__mr_lang")) & (F.col("h") == F.col("__mr_h"))).select("lang", "text", "rank")
+    ids = stage(ids.select(F.col("lang").alias("__mr_lang"), F.col("h").alias("__mr_h"), "rank"), "sample")
+    return d.select("lang", "text", h.alias("h")).join(F.broadcast(ids) if small(ids, BROADCAST_ROWS) else ids, (F.col("lang") == F.col("__mr_lang")) & (F.col("h") == F.col("__mr_h"))).select("lang", "text", "rank")
 
 
 def fit(docs: DataFrame, per_language: int = SAMPLE_DOCS) -> Model:

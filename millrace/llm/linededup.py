@@ -28,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stage, table, text_key
+from .common import shared_dir, small, stage, table, text_key
 
 MIN_CHARS = 8
 KEYS_A_SHARD = 250_000
-#: Verdicts of at most so many rows go to the documents by broadcast; more meet them in a shuffle, to the same effect.
+#: Verdicts on at most so many documents (and four times as many lines) go to the documents by broadcast; more meet them in a shuffle, to the same effect.
 BROADCAST_ROWS = 200_000
 SLOTS = 4
 _LOAD = 0.8
@@ -249,7 +249,7 @@ def apply_drops(docs: DataFrame, drop: DataFrame) -> DataFrame:
     """``docs`` with ``__mr_drop``: the line numbers each loses, or null."""
     per = stage(drop.groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("__mr_drop")), "drops")
     per = per.select(F.col("doc_id").alias("__mr_id"), F.col("text_key").alias("__mr_key"), "__mr_drop")
-    if per.count() <= BROADCAST_ROWS:
+    if small(per, BROADCAST_ROWS, "__mr_drop"):
         per = F.broadcast(per)
     on = F.col("doc_id").eqNullSafe(F.col("__mr_id")) & (text_key() == F.col("__mr_key"))
     return docs.join(per, on, "left").drop("__mr_id", "__mr_key")

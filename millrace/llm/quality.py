@@ -2,8 +2,8 @@
 
 Each document's histograms of character classes and of common words are held against the histograms of all documents
 of its language, by Jensen-Shannon divergence (base 2, so 0 to 1; its square root is the distance). Histograms are counted in numpy from Arrow batches
-in one narrow pass; the references are one aggregation to a row a language (broadcast: its size is the number of
-languages, not of documents); scores are native expressions. Nothing else is shuffled.
+in one narrow pass; the references are one aggregation to a row a language, broadcast after a look at their number;
+scores are native expressions. Nothing else is shuffled.
 
 Defined results
 * null or empty text: no histogram, both divergences null, kept ("short");
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import small, stage, table
 from .words import WORD_RE2, Words, ngram_of, pieces, raw, strings
 
 CLASSES = ("upper", "lower", "digit", "space", "punct", "other")
@@ -34,6 +34,8 @@ COMMON = {
     "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha me si".split(),
 }
 N_COMMON = 30
+#: References of at most so many languages are broadcast; more meet the documents in a shuffle, to the same effect.
+BROADCAST_ROWS = 10_000
 
 
 @dataclass(frozen=True)
@@ -121,8 +123,8 @@ def references(docs: DataFrame) -> DataFrame:
 
 def scored(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """``docs`` with ``__mr_chars``, ``__mr_words`` (counts), ``__mr_char_jsd``, ``__mr_word_jsd``, ``__mr_reason``."""
-    refs = references(docs)
-    h = _with_histogram(docs).join(F.broadcast(refs), F.col("lang").eqNullSafe(F.col("__mr_lang")), "left")
+    refs = stage(references(docs), "references")
+    h = _with_histogram(docs).join(F.broadcast(refs) if small(refs, BROADCAST_ROWS) else refs, F.col("lang").eqNullSafe(F.col("__mr_lang")), "left")
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, v: a + v)
     parts = lambda c: (F.slice(c, 1, 6), F.slice(c, 7, N_COMMON + 1))
     (pc_, pw), (qc, qw) = parts(F.col("__mr_h")), parts(F.col("__mr_ref"))
