@@ -22,14 +22,15 @@ def train_test(df: DataFrame, key: str, test: float, salt: str = SALT) -> DataFr
     return df.withColumn("split", F.when(T.uniform(F.col(key), salt) < test, "test").otherwise("train"))
 
 
-def ranked(df: DataFrame, key: str, salt: str = SALT, buckets: int = 1024) -> DataFrame:
-    """(key, rank): 1-based places of all rows in the order of their hashes, without bringing them to one partition: hashes
-    are counted by bucket, ranked within, and shifted by what lies before (a table of ``buckets`` rows)."""
-    u = df.select(F.col(key), T.uniform(F.col(key), salt).alias("u")).withColumn("b", F.floor(F.col("u") * buckets).cast("int"))
-    n = u.groupBy("b").agg(F.count("*").alias("n"))
-    before = n.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("b", "before")
-    r = u.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy("u", key)))
-    return r.join(F.broadcast(before), "b").select(key, (F.col("r") + F.col("before")).alias("rank"))
+def ranked(df: DataFrame, key: str, salt: str = SALT, buckets: int = 1024, by: Sequence[str] = ()) -> DataFrame:
+    """(by, key, rank): 1-based places of all rows (of each group) in the order of their hashes, without bringing them, or
+    a large group, to one partition: hashes are counted by bucket, ranked within, and shifted by what lies before."""
+    u = df.select(*by, F.col(key), T.uniform(F.col(key), salt).alias("u")).withColumn("b", F.floor(F.col("u") * buckets).cast("int"))
+    n = u.groupBy(*by, "b").agg(F.count("*").alias("n"))
+    before = n.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(*by, "b", "before")
+    r = u.withColumn("r", F.row_number().over(Window.partitionBy(*by, "b").orderBy("u", key)))
+    # without groups ``before`` has as many rows as buckets; with groups it is laid out as the ranks are
+    return r.join(before if by else F.broadcast(before), [*by, "b"]).select(*by, key, (F.col("r") + F.col("before")).alias("rank"))
 
 
 def exact_split(df: DataFrame, key: str, train: float = 0.9, validation: float = 0.5, salt: str = SALT) -> DataFrame:
@@ -83,8 +84,7 @@ def quotas(sizes: DataFrame, group: str, keep: int | float, priority: Sequence[s
 def downsample(df: DataFrame, group: str, key: str, keep: int | float, priority: Sequence[str] = (), salt: str = SALT) -> DataFrame:
     """The quota of each group, by hash."""
     q = quotas(df.groupBy(group).agg(F.count("*").alias("n")), group, keep, priority)
-    r = df.select(group, key, F.row_number().over(Window.partitionBy(group).orderBy(T.uniform(F.col(key), salt), key)).alias("r"))
-    chosen = r.join(F.broadcast(q), group).filter("r <= quota").select(key)
+    chosen = ranked(df, key, salt, by=[group]).join(q, group).filter("rank <= quota").select(key)
     return df.join(chosen, key, "left_semi")
 
 
