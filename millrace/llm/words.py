@@ -19,7 +19,7 @@ WORD_RE2 = r"[^\x00-/:-@\[-`{-\x{bf}\x{2000}-\x{207f}\x{3000}-\x{303f}]+"
 
 U64 = np.uint64
 _SEGMENT = 1 << 17
-_CHUNK = 8 << 20
+_CHUNK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _NGRAM = U64(0xD6E8FEB86659FD93)
 
