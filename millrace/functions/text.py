@@ -122,18 +122,19 @@ def truncate(c: Column, starters: Sequence[str] = (), removers: Sequence[str] =
     with a remover or hold no letter. A line is looked at as it is, in lower case, without #, and with letters only.
     Without any starting line, or with a stopping line before it, the text counts from the top."""
 
-    def forms(x: Column) -> list[Column]:
+    def forms(x: Column) -> Column:
         low = F.lower(x)
-        return [x, strip(low), strip(F.replace(low, F.lit("#"), F.lit(""))), strip(sub(low, "[^a-zA-Z ]"))]
+        return F.struct(*[f.alias(f"f{i}") for i, f in enumerate((x, strip(low), strip(F.replace(low, F.lit("#"), F.lit(""))), strip(sub(low, "[^a-zA-Z ]"))))])
 
-    def any_of(x: Column, prefixes: Sequence[str]) -> Column:
+    def any_of(f: Column, prefixes: Sequence[str]) -> Column:
         out = F.lit(False)
-        for f in forms(x) if prefixes else ():
-            out = out | starts_with_any(f, [p.lower() for p in prefixes])
+        for i in range(4) if prefixes else ():
+            out = out | starts_with_any(f[f"f{i}"], [p.lower() for p in prefixes])
         return out
 
-    # one struct a line: each line is looked at once, however often the flags are read
-    marked = F.transform(lines(c), lambda x: F.struct(x.alias("x"), any_of(x, starters).alias("s"), any_of(x, removers).alias("r"), any_of(x, stoppers).alias("p"), (forms(x)[3] == "").alias("b")))
+    # one struct a line: each form is made once, however many prefixes it is held against, and each flag once
+    marks = lambda f: F.struct(f["f0"].alias("x"), any_of(f, starters).alias("s"), any_of(f, removers).alias("r"), any_of(f, stoppers).alias("p"), (f["f3"] == "").alias("b"))
+    marked = F.transform(lines(c), lambda x: let(forms(x), marks))
 
     # places count from 1, 0 is none: where the text starts, and the first stop other than there
     start = lambda m: F.array_position(F.transform(m, lambda y: y.s), True) if starters else F.lit(0).cast("long")

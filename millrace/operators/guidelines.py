@@ -65,8 +65,9 @@ def aafp(a: Article) -> dict[str, Column]:
         _phrases("http; [; **[; ===; ---"),
         _phrases("sources; related content; references; more about practice guidelines; more about choosing wisely; *these guidelines are provided only; *these recommendations are provided only; *keyboard\\_tab*"),
     )
-    keep = lambda x: ~T.single_letter_words(_bare(x)) & ~F.lower(title).startswith(_bare(x)) & ~T.contains_any(_bare(x), ("|", "http"))
-    return {"title": title, "text": F.when(~borrowed, T.clean(F.concat(title, F.lit("\n\n"), _lines(body, keep)))), "url": a.col("url")}
+    keep = lambda x, low: T.let(_bare(x), lambda b: ~T.single_letter_words(b) & ~low.startswith(b) & ~T.contains_any(b, ("|", "http")))
+    rows = T.let(F.lower(title), lambda low: _lines(body, lambda x: keep(x, low)))
+    return {"title": title, "text": F.when(~borrowed, T.clean(F.concat(title, F.lit("\n\n"), rows))), "url": a.col("url")}
 
 
 def cco(a: Article) -> dict[str, Column]:
@@ -116,13 +117,13 @@ def cma(a: Article) -> dict[str, Column]:
         _phrases("|; [; ![; * [; + [; ===; ---; figure; footnote; refer to; table"),
         _phrases("additional resources; additional tables; list of abbreviations; report a problem; acknowledgements; acknowledgments; appendix; references; selected references; ### references; ### selected references; ### authors’ statement"),
     )
-    return {"title": title, "text": T.clean(F.concat(title, F.lit("\n\n"), _lines(body, lambda x: ~x.contains("|") & ~x.contains(title))))}
+    return {"title": title, "text": T.clean(T.let(title, lambda t: F.concat(t, F.lit("\n\n"), _lines(body, lambda x: ~x.contains("|") & ~x.contains(t)))))}
 
 
 def cma_pdfs(a: Article) -> dict[str, Column]:
     body = T.truncate(T.strip(a.col("text", "content")), stoppers=_phrases("funding; conflict of interest; disclaimer; acknowledg"))
     core = lambda x: F.lower(T.strip(T.sub(x, r"[#.]")))
-    keep = lambda x: ~core(x).isin("", T.BULLET) & ~T.is_digits(core(x))
+    keep = lambda x: T.let(core(x), lambda k: ~k.isin("", T.BULLET) & ~T.is_digits(k))
     return {"text": T.clean(_lines(body, keep, lambda x: T.sub(x, r"(?U)^\d+\.\s", "- "))), "doi": a.col("doi")}
 
 
@@ -146,7 +147,7 @@ def gc(a: Article) -> dict[str, Column]:
     raw = F.when(named, F.substring(a.text, 7, 2**31 - 1)).otherwise(a.text)
     body = T.truncate(quotes(raw), ["Document Objectives"], _phrases("http; www; (c); Publication Date"), _phrases("Source Citation; Recommendation Grading; Disclaimer"))
     core = lambda x: T.sub(x, "[^a-zA-Z0-9]")
-    head = lambda x: T.is_upper(core(x)) & (F.length(core(x)) > 2)
+    head = lambda x: T.let(core(x), lambda k: T.is_upper(k) & (F.length(k) > 2))
     rows = F.filter(F.transform(T.lines(body), T.strip), lambda x: x != "(c)")
     out = T.clean(T.unlines(F.transform(rows, lambda x: F.when(head(x), F.concat(F.lit("\n# "), x)).otherwise(x))))
     return {"title": quotes(F.when(named, "").otherwise(T.strip(a.title))), "text": T.let(out, lambda x: F.when(enough(x, 3), x))}
@@ -166,10 +167,12 @@ def idsa(a: Article) -> dict[str, Column]:
         _phrases("appropriate use criteria; [!; published; ===; ---"),
         _phrases("to access a more user; notes; acknowledgments; supplementary; disclaimer; to view the full version; for more information; references"),
     )
-    numbered = lambda x: T.is_digits(F.split(_bare(x), r"\.")[0])
+    numbered = lambda b: T.is_digits(F.split(b, r"\.")[0])
     # of a number without a full stop all but nothing is cut, as for any other
-    after = lambda x: T.strip(F.substring(x, F.instr(_bare(x), ".") + 1, F.length(x)))
-    rows = _lines(body, lambda x: numbered(x) | ~F.lower(title).startswith(_bare(x)), lambda x: F.when(numbered(x), F.concat(F.lit("- "), after(x))).otherwise(x))
+    after = lambda x, b: T.strip(F.substring(x, F.instr(b, ".") + 1, F.length(x)))
+    keep = lambda x, low: T.let(_bare(x), lambda b: numbered(b) | ~low.startswith(b))
+    to = lambda x: T.let(_bare(x), lambda b: F.when(numbered(b), F.concat(F.lit("- "), after(x, b))).otherwise(x))
+    rows = T.let(F.lower(title), lambda low: _lines(body, lambda x: keep(x, low), to))
     out = F.concat(title, F.lit("\n\n"), rows)
     for old, new in ((" ,", ""), (" .", "."), ("*", ""), (" )", ""), ("-. ", "- ")):
         out = F.replace(out, F.lit(old), F.lit(new))
