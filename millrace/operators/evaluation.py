@@ -112,6 +112,11 @@ def subset_report(df: DataFrame, subset: str, wanted: list[str]) -> DataFrame:
     return names.join(accuracy_report(df.filter(F.col(subset).isin(*wanted)), [subset]), subset, "left").fillna(0, ["total", "correct", "counted"])
 
 
+def without_subsets(df: DataFrame, part: str, subset: str = "subset") -> DataFrame:
+    """Rows whose subset's name does not hold ``part``; rows without a subset stay."""
+    return df.filter(~F.coalesce(F.col(subset).contains(part), F.lit(False)))
+
+
 # ---------------------------------------------------------------- entities
 
 _VOWEL = re.compile(r"[aeiou]|(?<=[^aeiou])y")

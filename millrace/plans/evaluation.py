@@ -105,6 +105,11 @@ def vote_report(spark, d):
     return _rounded(E.vote_report(_votes(spark, d)))
 
 
+@query("SELECT event_id, event_type AS subset FROM events WHERE NOT coalesce(contains(event_type, 'li'), false)")
+def without_subsets(spark, d):
+    return E.without_subsets(_generations(spark, d), "li").select("event_id", "subset")
+
+
 @query()
 def entity_prf(spark, d):
     """Entities: words of part names against those of part types."""

@@ -122,6 +122,18 @@ def read_binary(spark: SparkSession, path: str, parse: Callable[[bytes], str], g
     return files.mapInPandas(run, "file_name string, text string")
 
 
+def read_links(spark: SparkSession, path: str, links: Callable[[bytes], list[str]], glob: str = "*.pdf") -> DataFrame:
+    """(file_name, link): the distinct targets that a parser finds in each file."""
+    found = read_binary(spark, path, lambda b: json.dumps(links(b)), glob)
+    return found.select("file_name", F.explode(F.array_distinct(F.from_json("text", "array<string>"))).alias("link"))
+
+
+def named(paths: list[str], wanted: tuple[str, ...], unwanted: tuple[str, ...] = ("guideline",)) -> list[str]:
+    """Files whose name holds one of the wanted parts and none of the others; only these are then read."""
+    name = lambda p: p.rsplit("/", 1)[-1]
+    return [p for p in paths if any(w in name(p) for w in wanted) and not any(u in name(p) for u in unwanted)]
+
+
 def read_xml_ids(xml: Column) -> Column:
     """Ids of a search answer."""
     return F.xpath(xml, F.lit("//Id/text()"))

@@ -83,6 +83,9 @@ def test_ids_binary_and_paths(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(b"good")
     (tmp_path / "b.pdf").write_bytes(b"\xff")
     assert [tuple(r) for r in io.read_binary(spark, str(tmp_path), lambda b: b.decode()).collect()] == [("a.pdf", "good")]
+    links = io.read_links(spark, str(tmp_path), lambda b: [b.decode(), "x", "x"])
+    assert sorted(map(tuple, links.collect())) == [("a.pdf", "good"), ("a.pdf", "x")]
+    assert io.named(["/a/who.jsonl", "/a/who_guideline.jsonl", "/who/cma.jsonl"], ("who",)) == ["/a/who.jsonl"]
     assert io.split_path("x.jsonl", "test") == "x_test.jsonl" and io.generations_path("r", "b", "c", 3) == "r/b-c-3-shot.jsonl"
     df = spark.createDataFrame([("/d/s2orc/x",), ("/d/other",)], "p string")
     assert [r[0] for r in df.select(io.provenance(F.col("p"))).collect()] == ["s2orc", "unknown"]
