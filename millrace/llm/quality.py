@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import let
 from .common import small, stage, table
 from .words import WORD_RE2, Words, ngram_of, pieces, raw, strings
 
@@ -105,12 +106,20 @@ def _with_histogram(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def _total(c: Column) -> Column:
+    return F.aggregate(c, F.lit(0).cast("long"), lambda a, v: a + v)
+
+
+def _shares(counts: Column) -> Column:
+    """Of their sum; null without any."""
+    return let(_total(counts), lambda n: F.when(n > 0, F.transform(counts, lambda v: v / n)))
+
+
 def _jsd(p: Column, q: Column) -> Column:
     """Of two count arrays: sum over both of x log2(2x / (p + q)), halved."""
-    np_, nq = (F.aggregate(x, F.lit(0).cast("long"), lambda a, v: a + v).cast("double") for x in (p, q))
     term = lambda x, y: F.when(x > 0, x * F.log2(2 * x / (x + y))).otherwise(F.lit(0.0))
-    both = F.zip_with(p, q, lambda a, b: term(a / np_, b / nq) + term(b / nq, a / np_))
-    return F.when((np_ > 0) & (nq > 0), F.aggregate(both, F.lit(0.0), lambda a, v: a + v) / 2)
+    both = F.zip_with(_shares(p), _shares(q), lambda a, b: term(a, b) + term(b, a))
+    return F.aggregate(both, F.lit(0.0), lambda a, v: a + v) / 2
 
 
 def references(docs: DataFrame) -> DataFrame:
@@ -125,21 +134,28 @@ def scored(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """``docs`` with ``__mr_chars``, ``__mr_words`` (counts), ``__mr_char_jsd``, ``__mr_word_jsd``, ``__mr_reason``."""
     refs = stage(references(docs), "references")
     h = _with_histogram(docs).join(F.broadcast(refs) if small(refs, BROADCAST_ROWS) else refs, F.col("lang").eqNullSafe(F.col("__mr_lang")), "left")
-    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, v: a + v)
     parts = lambda c: (F.slice(c, 1, 6), F.slice(c, 7, N_COMMON + 1))
     (pc_, pw), (qc, qw) = parts(F.col("__mr_h")), parts(F.col("__mr_ref"))
-    h = h.withColumns({"__mr_chars": total(pc_), "__mr_words": total(pw)})
-    h = h.withColumn("__mr_char_jsd", F.when((F.col("__mr_chars") >= rules.min_chars) & (total(qc) >= rules.min_reference), _jsd(pc_, qc)))
     known = F.coalesce(F.col("lang").isin(*COMMON), F.lit(False))
-    h = h.withColumn("__mr_word_jsd", F.when(known & (F.col("__mr_words") >= rules.min_words) & (total(qw) >= rules.min_reference), _jsd(pw, qw)))
-    limit = rules.word_limit + rules.chance * N_COMMON / (8 * 0.6931471805599453 * F.col("__mr_words"))
-    reason = (
-        F.when(F.col("__mr_char_jsd").isNull() & F.col("__mr_word_jsd").isNull(), "short")
-        .when(F.col("__mr_char_jsd") > rules.char_limit, "characters")
-        .when(F.col("__mr_word_jsd") > limit, "words")
-        .otherwise("kept")
-    )
-    return h.withColumn("__mr_reason", reason).drop("__mr_h", "__mr_lang", "__mr_ref")
+
+    def score(n: Column) -> Column:
+        chars = F.when((n["chars"] >= rules.min_chars) & (_total(qc) >= rules.min_reference), _jsd(pc_, qc))
+        words = F.when(known & (n["words"] >= rules.min_words) & (_total(qw) >= rules.min_reference), _jsd(pw, qw))
+        return F.struct(n["chars"].alias("chars"), n["words"].alias("words"), chars.alias("char_jsd"), words.alias("word_jsd"))
+
+    def judged(x: Column) -> Column:
+        limit = rules.word_limit + rules.chance * N_COMMON / (8 * 0.6931471805599453 * x["words"])
+        reason = (
+            F.when(x["char_jsd"].isNull() & x["word_jsd"].isNull(), "short")
+            .when(x["char_jsd"] > rules.char_limit, "characters")
+            .when(x["word_jsd"] > limit, "words")
+            .otherwise("kept")
+        )
+        return F.struct(x["chars"].alias("chars"), x["words"].alias("words"), x["char_jsd"].alias("char_jsd"), x["word_jsd"].alias("word_jsd"), reason.alias("reason"))
+
+    # bound step by step: a filter on the reason would have the divergences computed once for each mention
+    h = h.withColumn("__mr_s", let(let(F.struct(_total(pc_).alias("chars"), _total(pw).alias("words")), score), judged))
+    return h.select(*docs.columns, *[F.col(f"__mr_s.{c}").alias(f"__mr_{c}") for c in ("chars", "words", "char_jsd", "word_jsd", "reason")])
 
 
 def keep_good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
