@@ -60,7 +60,7 @@ def contains_any(c: Column, parts: Sequence[str]) -> Column:
     return out
 
 
-# ---------------------------------------------------------------- cleaning
+# --- cleaning
 
 
 def remove_urls(c: Column) -> Column:
@@ -157,7 +157,7 @@ def prefix_fingerprint(c: Column, chars: int = 500) -> Column:
     return sub(F.lower(F.substring(c, 1, chars)), "[^a-zA-Z0-9]")
 
 
-# ---------------------------------------------------------------- captions and headers
+# --- captions and headers
 
 MAIN_SECTIONS = tuple(
     sorted(
@@ -199,7 +199,7 @@ def squeeze_article(c: Column) -> Column:
     return c
 
 
-# ---------------------------------------------------------------- citations
+# --- citations
 
 
 def citation_author(c: Column) -> Column:
@@ -223,7 +223,7 @@ def citation_query(author: Column, year: Column, title: Column) -> Column:
     return F.concat(F.lit("("), title, F.lit("[Title] AND "), author, F.lit("[Author - First] AND "), year, F.lit("[Date - Publication])"))
 
 
-# ---------------------------------------------------------------- small ones
+# --- small ones
 
 
 def is_digits(c: Column) -> Column:

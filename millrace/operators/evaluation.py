@@ -117,7 +117,7 @@ def without_subsets(df: DataFrame, part: str, subset: str = "subset") -> DataFra
     return df.filter(~F.coalesce(F.col(subset).contains(part), F.lit(False)))
 
 
-# ---------------------------------------------------------------- entities
+# --- entities
 
 _VOWEL = re.compile(r"[aeiou]|(?<=[^aeiou])y")
 

@@ -68,7 +68,7 @@ def multi_turn(messages: DataFrame, by: str, system: str = "", sep: str = "\n###
     return m.groupBy(by).agg(F.concat(F.lit(system + sep if system else sep.lstrip("\n")), F.array_join(turns, sep), F.lit(sep + roles["assistant"] + ":")).alias("prompt"))
 
 
-# ---------------------------------------------------------------- benchmarks
+# --- benchmarks
 
 
 def entities(tokens: Column, tags: Column) -> Column:
@@ -201,7 +201,7 @@ def with_subset(df: DataFrame, subset: str) -> DataFrame:
     return df.withColumn("subset", F.lit(subset))
 
 
-# ---------------------------------------------------------------- generation
+# --- generation
 
 
 def generate(df: DataFrame, model: Callable[[list[str]], list[str]], stop: tuple[str, ...] = ("###",), batch: int = 16, seeds: tuple[int, ...] = ()) -> DataFrame:

@@ -86,7 +86,8 @@ def journal_key(venue: Column) -> Column:
 
 def approved_key(name: str) -> str:
     """A listed name's key; here & counts as and, which it does not in an article's venue."""
-    return name.lower().replace("&", "and").translate({ord(x): None for x in ":,.-"})
+    spelled = "and".join(name.lower().split("&"))
+    return spelled.translate({ord(x): None for x in ":,.-"})
 
 
 def date_band(d: Column) -> Column:

@@ -144,7 +144,7 @@ class Article:
                 if not after_figures:
                     out.append(part)
             elif kind == "SEC":
-                part = part[0].upper() + part[1:].lower()
+                part = f"{part[:1].upper()}{part[1:].lower()}"
                 out.append(f"\n{'#' if _is_main(part) else '##'} {part}\n")
             elif kind == "BIB":
                 if self.options.bibliography:

@@ -123,7 +123,7 @@ def not_yet_done(spark, d):
     return joins.without(table(spark, d, "customer").select(F.col("c_custkey").alias("k")).distinct(), table(spark, d, "orders").select(F.col("o_custkey").alias("k")), "k")
 
 
-# ---------------------------------------------------------------- scoring
+# --- scoring
 
 def _articles(spark: SparkSession, d: str) -> DataFrame:
     """Orders as articles: dates are shifted forward by 22 years so that all date bands occur."""
@@ -245,7 +245,7 @@ def category_stats(spark, d):
     return stats.categories(_with_bands(spark, d), cond)
 
 
-# ---------------------------------------------------------------- sampling
+# --- sampling
 
 
 @query(f"SELECT doc_id, CASE WHEN {S.uniform('doc_id')} < 0.03 THEN 'test' ELSE 'train' END AS split FROM documents")
@@ -298,7 +298,7 @@ def rows_between(spark, d):
     return io.rows_between(_docs(spark, d).select("doc_id"), "doc_id", 40, 100)
 
 
-# ---------------------------------------------------------------- mixing
+# --- mixing
 
 
 @query("SELECT 'guidelines' AS subset, text, doc_id, CAST(NULL AS BIGINT) AS item_id, CAST(NULL AS VARCHAR) AS role FROM documents UNION ALL SELECT 'benchmark', text, NULL, item_id, NULL FROM benchmark UNION ALL SELECT 'replay', text, NULL, NULL, role FROM conversations")
@@ -331,7 +331,7 @@ def id_routing(spark, d):
     return o.select("o_orderkey", io.id_kind(F.col("externalids.PubMed"), F.col("externalids.PubMedCentral")).alias("kind"), io.external_id(o, "papers").alias("id"))
 
 
-# ---------------------------------------------------------------- streaming
+# --- streaming
 
 
 def _streamed(spark: SparkSession, d: str, name: str, do) -> DataFrame:

@@ -117,7 +117,7 @@ def entity_prf(spark, d):
     return E.entity_scores(p)
 
 
-# ---------------------------------------------------------------- prompts
+# --- prompts
 
 _MCQ = "'Question: ' || p_name || CASE WHEN ends_with(p_name, '?') OR ends_with(p_name, '.') THEN '' ELSE '?' END || chr(10) || chr(10) || 'Options:' || chr(10) || 'A. ' || p_brand || chr(10) || 'B. ' || p_type || chr(10) || 'C. ' || p_size || chr(10) || 'D. none'"
 

@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 CORRUPT = "_corrupt_record"
 
 
-# ---------------------------------------------------------------- readers
+# --- readers
 
 
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: StructType | str, bad: str = "fail") -> DataFrame:
@@ -174,7 +174,7 @@ def combine(parts: dict[str, DataFrame]) -> DataFrame:
     return composite(*out)
 
 
-# ---------------------------------------------------------------- writers
+# --- writers
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -16,7 +16,7 @@ def rows(df):
     return sorted(map(tuple, df.collect()), key=repr)
 
 
-# ---------------------------------------------------------------- dedup and joins
+# --- dedup and joins
 
 
 def test_first_by_prefix_keeps_the_first(spark):
@@ -47,7 +47,7 @@ def test_marks_and_sub_spans(spark):
     assert spans.select(joins.within(F.col("a"), F.lit(2), F.lit(6))["start"]).first()[0] == 3
 
 
-# ---------------------------------------------------------------- sampling
+# --- sampling
 
 
 def test_splits_are_exact_and_repeatable(spark):
@@ -78,7 +78,7 @@ def test_replication_follows_the_factor(spark):
     assert sampling.replicate(df.limit(3), F.lit(2)).count() == 6 and sampling.replicate(df.limit(3), F.lit(0)).count() == 0
 
 
-# ---------------------------------------------------------------- scoring
+# --- scoring
 
 
 def test_factors_and_reasons(spark):
@@ -93,7 +93,7 @@ def test_factors_and_reasons(spark):
     assert [r[0] for r in df.select(scoring.reason(ok)).collect()] == ["include", "publication_type", "mesh", "nometadata", "nometadata", "date", "publication_notcovered", "citation"]
 
 
-# ---------------------------------------------------------------- articles
+# --- articles
 
 
 def test_rendering():
@@ -124,7 +124,7 @@ def test_xml(spark):
     assert rows(got) == [("1", ["Heart & lung"], ["Review"]), ("2", [], [])]
 
 
-# ---------------------------------------------------------------- answers and prompts
+# --- answers and prompts
 
 
 def test_answers(spark):
@@ -186,7 +186,7 @@ def test_top_token(spark):
     assert df.select(prompts.top_token(F.col("m"))).first()[0] == "b"
 
 
-# ---------------------------------------------------------------- statistics
+# --- statistics
 
 
 def test_statistics(spark):
