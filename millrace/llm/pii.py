@@ -72,7 +72,7 @@ def features(token: str) -> list[str]:
     ]
 
 
-# ---------------------------------------------------------------- labelled table
+# --- labelled table
 
 
 def labelled_sentences(n: int = SENTENCES, seed: int = SEED) -> list[list[tuple[str, str]]]:
@@ -158,7 +158,7 @@ def labelled_table(spark: SparkSession, n: int = SENTENCES, seed: int = SEED) ->
     return spark.createDataFrame([(i, j, t, y) for i, s in enumerate(labelled_sentences(n, seed)) for j, (t, y) in enumerate(s)], "sentence int, position int, token string, label string")
 
 
-# ---------------------------------------------------------------- model
+# --- model
 
 
 class Crf:
@@ -288,7 +288,7 @@ def fit(labelled: DataFrame) -> Crf:
     return train([[(t, y) for _, t, y in sorted(by[k])] for k in sorted(by)])
 
 
-# ---------------------------------------------------------------- decoding
+# --- decoding
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
