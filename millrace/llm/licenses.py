@@ -12,13 +12,15 @@ The n-gram join runs in one generated-code stage over the scan; only matches are
 Defined results
 * null and empty texts and texts of fewer words than an n-gram match nothing; null doc_ids are carried through;
 * a license that stands twice gives two spans; rows equal in doc_id and text are reported once;
-* of overlapping spans that of higher coverage stays, then the longer, then the license that sorts first.
+* of overlapping spans that of higher coverage stays, then the longer, then the license that sorts first;
+* a license has several templates, named license:kind (text, header, notice and so on); one without a kind has the bare name.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, text_key
-from .words import WORD, WORD_RE2, Words, char_starts, lists, ngram_of, pieces, signed, strings
+from .words import WORD, WORD_RE2, Words, char_starts, lists, pieces, signed, strings
 
 K = 3
 MAX_SHIFT = 4
@@ -51,6 +53,50 @@ TEMPLATES = {
     "all-rights-reserved": "All rights reserved.",
 }
 
+_TEXTS = Path(__file__).parent / "license_texts"
+for _n, _file in (("apache-2.0", "Apache-2.0"), ("gpl-2.0", "GPL-2"), ("gpl-3.0", "GPL-3"), ("lgpl-2.1", "LGPL-2.1"), ("lgpl-3.0", "LGPL-3"), ("mpl-2.0", "MPL-2.0"), ("cc0-1.0", "CC0-1.0")):
+    TEMPLATES[f"{_n}:text"] = (_TEXTS / f"{_file}.txt").read_text(encoding="utf-8")
+
+_AS_IS = "THE SOFTWARE IS PROVIDED \"AS IS\""
+_BSD_HEAD = TEMPLATES["bsd-3-clause"] + ": 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_TAIL = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+TEMPLATES |= {
+    "mit:text": f"{TEMPLATES['mit-text']} (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. {_AS_IS}, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "mit:notice": "Licensed under the MIT License.",
+    "mit:terms": "the terms of the MIT License.",
+    "isc:text": f"{TEMPLATES['isc']}, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "bsd-2-clause:text": f"{_BSD_HEAD} {_BSD_TAIL}",
+    "bsd-3-clause:text": f"{_BSD_HEAD} 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. {_BSD_TAIL}",
+    "unlicense:text": f"{TEMPLATES['unlicense']} Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "apache-2.0:header": f"{TEMPLATES['apache-2.0']} (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    "apache-2.0:head": "Apache License Version 2.0, January 2004",
+    "apache-2.0:notice": "the Apache License 2.0",
+    "apache-1.1": "Licensed under the Apache License, Version 1.1.",
+    "mpl-2.0:header": f"{TEMPLATES['mpl-2.0']} If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "mpl-2.0:notice": "Mozilla Public License Version 2.0",
+    "mpl-2.0:short": "Mozilla Public License 2.0",
+}
+# notices of the GNU licenses begin at GNU: with words before it, a license's template would be covered in whole by a notice that has Lesser or Affero after it
+for _n, _name, _versions in (("gpl", "GNU General Public License", ("1", "2", "3")), ("lgpl", "GNU Lesser General Public License", ("2.1", "3")), ("lgpl", "GNU Library General Public License", ("2",)), ("agpl", "GNU Affero General Public License", ("3",))):
+    for _v in _versions:
+        _key = f"{_n}-{_v}" if "." in _v else f"{_n}-{_v}.0"
+        TEMPLATES[f"{_key}:header"] = f"{_name} as published by the Free Software Foundation, either version {_v} of the License, or (at your option) any later version."
+        TEMPLATES[f"{_key}:only"] = f"{_name} as published by the Free Software Foundation, version {_v} of the License."
+        TEMPLATES[f"{_key}:notice"] = f"{_name} version {_v}"
+        TEMPLATES[f"{_key}:short"] = f"{_name} v{_v}"
+        if "." not in _v:
+            TEMPLATES[f"{_key}:notice-0"] = f"{_name} version {_v}.0"
+            TEMPLATES[f"{_key}:short-0"] = f"{_name} v{_v}.0"
+# nothing stands after the version, so that Attribution isn't covered in whole by Attribution-ShareAlike
+for _n, _name in (("by", "Attribution"), ("by-sa", "Attribution-ShareAlike"), ("by-nc", "Attribution-NonCommercial"), ("by-nd", "Attribution-NoDerivatives"), ("by-nc-sa", "Attribution-NonCommercial-ShareAlike"), ("by-nc-nd", "Attribution-NonCommercial-NoDerivatives")):
+    for _v in ("2.0", "2.5", "3.0", "4.0"):
+        TEMPLATES[f"cc-{_n}-{_v}:name"] = f"Creative Commons {_name} {_v}"
+        TEMPLATES[f"cc-{_n}-{_v}:spdx"] = f"SPDX-License-Identifier: CC-{_n}-{_v}"
+        TEMPLATES.setdefault(f"cc-{_n}-{_v}", f"Licensed under CC {_n} {_v}.")
+# of identifiers only those of three words or more: before a single word (MIT, ISC) the three of the tag alone would pass MIN_COVERAGE
+for _n in ("apache-2.0", "gpl-2.0", "gpl-3.0", "lgpl-2.1", "lgpl-3.0", "agpl-3.0", "mpl-2.0", "bsd-2-clause", "bsd-3-clause", "cc0-1.0"):
+    TEMPLATES[f"{_n}:spdx"] = f"SPDX-License-Identifier: {_n}"
+
 
 def template_words(text: str) -> list[str]:
     return re.findall(WORD, text.lower())
@@ -58,11 +104,11 @@ def template_words(text: str) -> list[str]:
 
 def template_rows(templates: dict[str, str] = TEMPLATES, k: int = K) -> list[tuple[str, int, int, str, str, int]]:
     """(license, words, position, gram, its last word, hash)."""
-    rows = []
-    for name, text in sorted(templates.items()):
-        w = template_words(text)
-        rows += [(name, len(w), i, " ".join(w[i : i + k]), w[i + k - 1], signed(np.array([ngram_of(w[i : i + k])], np.uint64))[0].item()) for i in range(len(w) - k + 1)]
-    return rows
+    named = [(name, template_words(text)) for name, text in sorted(templates.items())]
+    # the hashes of all templates at once, in the order of the rows
+    _, h = Words(pa.array([" ".join(w) for _, w in named], pa.large_string()), lower=False).ngrams(k)
+    grams = [(name, len(w), i, " ".join(w[i : i + k]), w[i + k - 1]) for name, w in named for i in range(len(w) - k + 1)]
+    return [(*g, x) for g, x in zip(grams, signed(h).tolist(), strict=True)]
 
 
 def _grams(docs: DataFrame, k: int) -> DataFrame:

@@ -38,3 +38,43 @@ def test_empty(spark, rows):
 def test_clashing_columns(spark):
     d = brute.table(spark, [(1, licenses.TEMPLATES["mit"])]).selectExpr("*", "1 as license", "2 as pos", "3 as h", "4 as text_key", "5 as diagonal", "6 as th")
     assert [r[1] for r in found(licenses.license_spans(d))] == ["mit"]
+
+
+_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+
+
+def _full(name):
+    return (licenses._TEXTS / f"{name}.txt").read_text(encoding="utf-8")
+
+
+REAL = [
+    (_GNU.format("", 3), "gpl-3.0"),
+    (_GNU.format("", 2), "gpl-2.0"),
+    (_GNU.format("Lesser ", 3), "lgpl-3.0"),
+    (_GNU.format("Lesser ", 2.1), "lgpl-2.1"),
+    (_GNU.format("Affero ", 3), "agpl-3.0"),
+    ("Licensed under the GNU General Public License v3.0", "gpl-3.0"),
+    ("Licensed under the GNU General Public License, version 3.", "gpl-3.0"),
+    ("Licensed under the GNU General Public License v2", "gpl-2.0"),
+    ("Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/", "apache-2.0"),
+    ("This project is licensed under the Apache License 2.0.", "apache-2.0"),
+    ("Licensed under the Apache License, Version 1.1.", "apache-1.1"),
+    ("This project is licensed under the MIT License.", "mit"),
+    ("Distributed under the terms of the MIT license.", "mit"),
+    ("SPDX-License-Identifier: GPL-3.0-or-later", "gpl-3.0"),
+    ("SPDX-License-Identifier: Zlib", None),
+    ("The terms of the lease are under the law of the state; the license was issued in version 3 of the form.", None),
+    *((f"This work is licensed under a Creative Commons {name} {v} International License.", f"cc-{n}-{v}") for v in ("3.0", "4.0") for n, name in (("by", "Attribution"), ("by-sa", "Attribution-ShareAlike"), ("by-nc", "Attribution-NonCommercial"), ("by-nd", "Attribution-NoDerivatives"), ("by-nc-sa", "Attribution-NonCommercial-ShareAlike"), ("by-nc-nd", "Attribution-NonCommercial-NoDerivatives"))),
+    *((_full(file), n) for file, n in (("Apache-2.0", "apache-2.0"), ("GPL-2", "gpl-2.0"), ("GPL-3", "gpl-3.0"), ("LGPL-2.1", "lgpl-2.1"), ("LGPL-3", "lgpl-3.0"), ("MPL-2.0", "mpl-2.0"), ("CC0-1.0", "cc0-1.0"))),
+    (f"Copyright 2020 X\n\n{licenses.TEMPLATES.get('mit:text')}", "mit"),
+    (licenses.TEMPLATES.get("bsd-2-clause:text"), "bsd-2-clause"),
+    (licenses.TEMPLATES.get("bsd-3-clause:text"), "bsd-3-clause"),
+]
+
+
+def test_real_notices_and_texts(spark):
+    got = {}
+    for d, name, _, _ in found(licenses.license_spans(brute.table(spark, [(i, t) for i, (t, _) in enumerate(REAL)]))):
+        got.setdefault(d, set()).add(name.partition(":")[0])
+    wrong = [(t[:90], want, got.get(i)) for i, (t, want) in enumerate(REAL) if got.get(i, set()) != ({want} if want else set())]
+    assert not wrong
