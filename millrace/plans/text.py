@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import guidelines, html, lang, standoff
+from ..operators import guidelines, html, lang, sampling, standoff
 from ..sources import io
 from . import sql as S
 from .registry import query, table
@@ -129,12 +129,10 @@ def citation_parse(spark, d):
 @query("""SELECT k // 20 AS batch, string_agg(q, ' OR ' ORDER BY p_partkey) AS query FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS k,
 '(' || p_name || '[Title] AND ' || p_brand || '[Author - First] AND ' || (1990 + p_size) || '[Date - Publication])' AS q FROM part) GROUP BY 1 HAVING count(*) = 20""")
 def search_queries(spark, d):
-    """Queries in full batches of 20; keys here are 0, 1, 2 and so on, so a batch needs no global rank."""
-    p = table(spark, d, "part")
-    low = p.agg(F.min("p_partkey").alias("low"))
+    """Queries in full batches of 20, by rank of the key."""
     q = T.citation_query(F.col("p_brand"), (F.lit(1990) + F.col("p_size")).cast("string"), F.col("p_name"))
-    b = p.crossJoin(F.broadcast(low)).select(F.floor((F.col("p_partkey") - F.col("low")) / 20).alias("batch"), F.struct("p_partkey", q.alias("q")).alias("x"))
-    g = b.groupBy("batch").agg(F.array_sort(F.collect_list("x")).alias("xs")).filter(F.size("xs") == 20)
+    p = sampling.numbered(table(spark, d, "part").select("p_partkey", q.alias("q")), "p_partkey", "q")
+    g = p.groupBy(F.floor((F.col("rank") - 1) / 20).alias("batch")).agg(F.array_sort(F.collect_list(F.struct("rank", "q"))).alias("xs")).filter(F.size("xs") == 20)
     return g.select("batch", F.array_join(F.transform("xs", lambda x: x["q"]), " OR ").alias("query"))
 
 

@@ -114,3 +114,19 @@ def test_html():
     assert html.hospital('<p>before</p><h2 id="key-points">Key</h2><ul><li>x\ny</li></ul><p>Last updated 2020</p><p>z</p>') == "# Key\n- x\n\t- y"
     assert html.patient("<h2>A</h2><div class='references'><p>no</p></div><p>yes</p>") == "A\nyes"
     assert html.encyclopaedia("") == "" and html.encyclopaedia("<p>open <b>tags") == "open tags"
+
+
+def test_search_queries_of_any_keys(spark, tmp_path):
+    """Gaps, repeats, nulls and an outlier among the keys leave no batch out."""
+    import duckdb
+    from millrace.plans import registry
+    from oracle import same
+
+    keys = [*range(-90, 300, 2), *[400] * 27, None, None, None, 10**12]
+    parts = [(k, "same" if k in (400, None) else f"name {i}", "brand", 5) for i, k in enumerate(keys)]
+    spark.createDataFrame(parts, "p_partkey bigint, p_name string, p_brand string, p_size int").repartition(5).write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{tmp_path}/part.parquet/*.parquet')")
+    found = registry.queries()["search_queries"](spark, str(tmp_path))
+    assert found.count() == len(keys) // 20
+    same(found, con, registry.oracle_sql()["search_queries"])
