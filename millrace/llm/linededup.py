@@ -8,7 +8,8 @@ holds, as tables in one folder, only ever appended to:
 * filters (shard, version, blob): a cuckoo filter of the lines with a positive count; the last version counts.
 
 An insertion probes each shard's filter first: a miss is certainly new, and only hits (true ones and the few false
-ones) are looked up in refs. A deletion appends negative references and takes the fingerprints of lines that reach
+ones) are looked up in refs. Each line without a positive count, a false hit too, gets a fingerprint of its own, so
+that no line leans on another's. A deletion appends negative references and takes the fingerprints of lines that reach
 zero out of the filters, which Bloom filters could not do. Shards are worked on independently and in parallel; their
 number follows the data, so a filter stays a few MB. A document's text is moved at most once, to meet its verdicts.
 
@@ -137,27 +138,34 @@ def _shard(n: int) -> Column:
     return F.pmod(F.col("h2"), F.lit(n)).cast("int")
 
 
+def _probe(keys: DataFrame, filters: DataFrame) -> DataFrame:
+    """(h1, h2) of the keys that the filters may hold; keys: (shard, h1, h2); filters: (shard, blob)."""
+
+    def run(ks: pa.Table, fs: pa.Table) -> pa.Table:
+        blobs = fs.column("blob").to_pylist()
+        maybe = Cuckoo(blob=blobs[0]).contains(ks.column("h1").to_numpy()) if blobs and ks.num_rows else np.zeros(ks.num_rows, dtype=bool)
+        return ks.select(["h1", "h2"]).filter(pa.array(maybe, pa.bool_()))
+
+    return keys.select("shard", "h1", "h2").groupBy("shard").cogroup(filters.groupBy("shard")).applyInArrow(run, "h1 bigint, h2 bigint")
+
+
 def _filters(keys: DataFrame, filters: DataFrame, version: int) -> DataFrame:
-    """keys: (shard, h1, h2, delta); filters: (shard, blob). A row a shard with its filter after these changes (it has
-    a version; maybe says that it ran full), and a row a key with whether the filter of before may hold it (delta > 0: insert what it doesn't hold; else delete)."""
+    """keys: (shard, h1, h2, delta), of lines that had no count (delta > 0: insert) or have none now (else delete);
+    filters: (shard, blob). A row a shard that has keys, with its filter after these changes, or none if it ran full."""
 
     def run(ks: pa.Table, fs: pa.Table) -> pa.Table:
         if not ks.num_rows:
             return into.empty_table()
         old = fs.column("blob").to_pylist()
-        shard, h1, h2, delta = (ks.column(c).to_numpy() for c in ("shard", "h1", "h2", "delta"))
+        h1, delta = ks.column("h1").to_numpy(), ks.column("delta").to_numpy()
         now = Cuckoo(blob=old[0]) if old else Cuckoo(int(len(h1) * 1.25))
-        maybe = now.contains(h1) if old else np.zeros(len(h1), dtype=bool)
-        gone, fresh = h1[delta < 0], h1[(delta > 0) & ~maybe]
-        now.delete(gone)
+        fresh = h1[delta > 0]
+        now.delete(h1[delta < 0])
         full = now.load + len(fresh) / now.slots.size > _LOAD or not now.insert(fresh)
-        rows = pa.table([pa.array(shard), pa.array(h1), pa.array(h2), pa.array(maybe), pa.nulls(len(h1), pa.binary()), pa.nulls(len(h1), pa.int32())], schema=into)
-        last = pa.table([pa.array(shard[:1]), pa.array(h1[:1]), pa.array(h2[:1]), pa.array([full]), pa.array([None if full else now.bytes()], pa.binary()), pa.array([version], pa.int32())], schema=into)
-        return pa.concat_tables([rows, last])
+        return pa.table([ks.column("shard")[:1], pa.array([version], pa.int32()), pa.array([None if full else now.bytes()], pa.binary())], schema=into)
 
-    into = pa.schema([("shard", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("maybe", pa.bool_()), ("blob", pa.binary()), ("version", pa.int32())])
-    schema = "shard int, h1 bigint, h2 bigint, maybe boolean, blob binary, version int"
-    return keys.groupBy("shard").cogroup(filters.groupBy("shard")).applyInArrow(run, schema)
+    into = pa.schema([("shard", pa.int32()), ("version", pa.int32()), ("blob", pa.binary())])
+    return keys.groupBy("shard").cogroup(filters.groupBy("shard")).applyInArrow(run, "shard int, version int, blob binary")
 
 
 class LineStore:
@@ -196,18 +204,15 @@ class LineStore:
         live = p.groupBy("batch", "doc_id", "text_key", "line_no", "h1", "h2").agg(F.sum("sign").alias("n")).filter("n > 0")
         return live.groupBy("h1", "h2").agg(F.min(_order()).alias("owner"))
 
-    def _update(self, keys: DataFrame) -> DataFrame:
-        """Append references, bring the filters up to date, and say which keys the filters may have held."""
-        keys = self._append("refs", keys)
-        out = stage(_filters(keys.filter("delta > 0 or gone"), self._current_filters(), self.version), "probed")
-        built = out.filter("version is not null")
-        self._append("filters", built.filter("not maybe").select("shard", "version", "blob"))
-        full = built.filter("maybe").select("shard")
+    def _update(self, keys: DataFrame) -> None:
+        """Bring the filters up to date: keys as ``_filters`` has them, their references appended before."""
+        built = stage(_filters(keys, self._current_filters(), self.version), "built")
+        self._append("filters", built.filter("blob is not null").select("shard", "version", "blob"))
+        full = built.filter("blob is null").select("shard")
         if full.head(1):
             left = self.read("refs").join(full, "shard", "left_semi").groupBy("shard", "h1", "h2").agg(F.sum("delta").alias("delta")).filter("delta > 0")
             again = _filters(left, self.spark.createDataFrame([], "shard int, blob binary"), self.version)
-            self._append("filters", again.filter("version is not null").select("shard", "version", "blob"))
-        return out.filter("version is null").select("h1", "h2", "maybe")
+            self._append("filters", again.select("shard", "version", "blob"))
 
     def insert(self, docs: DataFrame) -> DataFrame:
         """Take in ``docs``; returns the postings that are to be dropped: (doc_id, text_key, line_no)."""
@@ -220,12 +225,17 @@ class LineStore:
             self.shards = max(8, -(-posted.count() // KEYS_A_SHARD))
         keys = per.select(_shard(self.shards).alias("shard"), "h1", "h2", "delta", F.lit(False).alias("gone"))
         old = self.read("refs")
-        probed = self._update(keys)
+        keys = self._append("refs", keys)
+        if old is None:
+            self._update(keys)
+        else:  # hits of the filters, looked up in the exact counts as they were
+            maybe = stage(_probe(keys, self._current_filters()), "probed")
+            held = stage(old.join(maybe, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.sum("delta").alias("n")).filter("n > 0").select("h1", "h2"), "held")
+            self._update(keys.join(held, ["h1", "h2"], "left_anti").select("shard", "h1", "h2", "delta"))
         doubtful = posted.join(per.filter("delta > 1").select("h1", "h2", "first"), ["h1", "h2"]).filter(_order() != F.col("first"))
         drop = doubtful.select("doc_id", "text_key", "line_no")
-        if old is not None:  # hits of the filters, looked up in the exact counts as they were
-            seen = old.join(probed.filter("maybe").select("h1", "h2"), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.sum("delta").alias("n")).filter("n > 0")
-            drop = drop.unionByName(posted.join(seen.select("h1", "h2"), ["h1", "h2"], "left_semi").select("doc_id", "text_key", "line_no")).distinct()
+        if old is not None:
+            drop = drop.unionByName(posted.join(held, ["h1", "h2"], "left_semi").select("doc_id", "text_key", "line_no")).distinct()
         return drop
 
     def delete(self, docs: DataFrame) -> DataFrame:
@@ -239,7 +249,8 @@ class LineStore:
         out = self._append("postings", live.join(d, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_key") == F.col("k")), "left_semi").select("batch", "doc_id", "text_key", "line_no", "h1", "h2", (-F.col("n")).cast("int").alias("sign")))
         per = out.groupBy("h1", "h2").agg(F.sum("sign").alias("delta"))
         now = per.join(self.counts(), ["h1", "h2"])
-        self._update(stage(now.select(_shard(self.shards).alias("shard"), "h1", "h2", "delta", (F.col("refs") + F.col("delta") <= 0).alias("gone")), "gone"))
+        changed = self._append("refs", now.select(_shard(self.shards).alias("shard"), "h1", "h2", "delta", (F.col("refs") + F.col("delta") <= 0).alias("gone")))
+        self._update(changed.filter("gone").select("shard", "h1", "h2", "delta"))
         after = self.owners().join(per.select("h1", "h2"), ["h1", "h2"], "left_semi")
         moved = after.join(before.withColumnRenamed("owner", "was"), ["h1", "h2"]).filter(F.col("owner") != F.col("was"))
         return moved.select("owner.doc_id", "owner.text_key", "owner.line_no")

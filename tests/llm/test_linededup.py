@@ -92,3 +92,19 @@ def test_cuckoo_false_positives_are_few():
     keys = rng.integers(-(2**63), 2**63 - 1, 40_000)
     f = Cuckoo(20_000)
     assert f.insert(keys[:20_000]) and f.contains(keys[20_000:]).mean() < 0.001
+
+
+def test_lines_of_one_fingerprint_dont_lean_on_each_other(spark):
+    """Two lines that the filter can't tell apart: what is deleted takes only its own fingerprint out, whichever goes."""
+    d = linededup.lines_of(brute.table(spark, [(i, f"line number {i} of many") for i in range(20_000)])).select("doc_id", "h1").toPandas()
+    f, a, b = Cuckoo()._places(d.h1.to_numpy())
+    seen = {}
+    pair = next((seen[k], i) for i, k in zip(d.doc_id.tolist(), zip(f.tolist(), np.minimum(a, b).tolist())) if seen.setdefault(k, i) != i)
+    lines = [f"line number {i} of many" for i in pair]
+    for gone in (0, 1):
+        store = LineStore(spark, shards=1)
+        for i, line in enumerate(lines):
+            assert store.insert(brute.table(spark, [(i, line)])).count() == 0
+        store.delete(brute.table(spark, [(gone, lines[gone])])).count()
+        assert [x.doc_id for x in store.insert(brute.table(spark, [(3, lines[1 - gone])])).collect()] == [3]
+        assert store.insert(brute.table(spark, [(4, lines[gone])])).count() == 0
