@@ -11,6 +11,9 @@ pass over all documents and whole texts.
 Defined results
 * null or empty texts, and those of fewer than ``MIN_CHARS`` letters, are ``und``; cross-entropy is null without letters;
 * rows with a null language or text are no training rows; without any training row everything is ``und``;
+* every language is calibrated: short held-out texts are joined to windows, a language with few is cross-validated on all
+  its sampled rows, and takes the spread pooled over languages if that still gives few; one whose rows give no
+  held-out symbol at all accepts nothing;
 * ties go to the language that sorts first; repeated rows and null doc_ids are scored like any other.
 """
 
@@ -33,6 +36,8 @@ MIN_CHARS = 12
 BROADCAST_ROWS = 200_000
 #: How far above the held-out mean a text may lie: spread between texts, and of single characters.
 SPREAD, NOISE = 4.0, 4.0
+#: Symbols of a calibration window, and windows that a language needs for a spread of its own; the spread where no language has one.
+WINDOW, WINDOWS, UNKNOWN_SPREAD = 200, 5, 0.25
 UND = "und"
 
 
@@ -162,15 +167,21 @@ class Model:
                     sums[:, k] += np.bincount(r, p[:, k], len(n))
         return -sums / np.maximum(n, 1)[:, None], n
 
-    def calibrate(self, texts: list[list[str]]) -> None:
-        """Limits from texts that no model has seen: mean, spread between texts, spread of a character."""
+    def calibrate(self, texts: list[list[str]], sampled: list[list[str]] | None = None) -> None:
+        """Limits from texts that no model has seen: mean, spread between texts, spread of a character. Of ``sampled``, all
+        rows by language, those of a language with too few such texts are cross-validated."""
+        found = []
         for k, mine in enumerate(texts):
-            h, n = self.entropies(strings(pa.array(mine, pa.large_string())))
-            h, n = h[n >= 200, k], n[n >= 200]
-            if len(h) >= 5:
-                mid = float(np.median(h))
-                spread = 1.4826 * float(np.median(np.abs(h - mid)))
-                self.limits[k] = mid, spread, 2.5
+            h, n = self.entropies(strings(pa.array(mine, pa.large_string()))) if mine else (np.zeros((0, len(self.langs))), np.zeros(0, int))
+            w = _windows(h[:, k], n)
+            if sampled and len(w) < WINDOWS:
+                w = _windows(*_crossed(self.langs[k], sampled[k]))
+            found.append(w)
+        spread = lambda w: 1.4826 * float(np.median(np.abs(w - np.median(w))))
+        own = [spread(w) for w in found if len(w) >= WINDOWS]
+        pooled = float(np.median(own)) if own else UNKNOWN_SPREAD
+        for k, w in enumerate(found):
+            self.limits[k] = (float(np.median(w)), spread(w) if len(w) >= WINDOWS else pooled, 2.5) if len(w) else (-np.inf, 0.0, 0.0)
 
     def choose(self, column: pa.Array) -> tuple[list[str], list[float | None], list[int]]:
         if not self.langs:
@@ -181,11 +192,41 @@ class Model:
         low = h[np.arange(len(h)), best]
         mid, spread, char = self.limits[best].T
         with np.errstate(invalid="ignore"):
-            top = np.where(np.isinf(mid), np.inf, mid + SPREAD * np.maximum(spread, 0.05) + NOISE * char / np.sqrt(np.maximum(n, 1)))
+            top = np.where(np.isinf(mid), mid, mid + SPREAD * np.maximum(spread, 0.05) + NOISE * char / np.sqrt(np.maximum(n, 1)))
         ok = (n >= MIN_CHARS) & (low <= top)
         return [self.langs[b] if o else UND for b, o in zip(best, ok)], [float(x) if m > 1 else None for x, m in zip(low, n)], n.tolist()
 
 
+def _windows(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Cross-entropies of the texts of ``WINDOW`` symbols or more; if these are few, of all texts joined to such windows."""
+    if (n >= WINDOW).sum() >= WINDOWS:
+        return h[n >= WINDOW]
+    out, bits, symbols_ = [], 0.0, 0
+    for x, m in zip(h.tolist(), n.tolist()):
+        bits, symbols_ = bits + x * m, symbols_ + m
+        if symbols_ >= WINDOW:
+            out.append(bits / symbols_)
+            bits, symbols_ = 0.0, 0
+    if not out and symbols_:
+        out = [bits / symbols_]
+    return np.array(out)
+
+
+def _crossed(lang: str, texts: list[str], folds: int = 5, chars: int = 400) -> tuple[np.ndarray, np.ndarray]:
+    """(cross-entropy, symbols) of each piece of the texts, by a model of the other folds."""
+    cut = [t[i : i + chars] for t in texts for i in range(0, len(t), chars)]
+    if len(cut) == 1:
+        half = len(cut[0]) // 2
+        cut = [cut[0][:half], cut[0][half:]]
+    folds = min(folds, len(cut))
+    hs, ns = [np.zeros(0)], [np.zeros(0, int)]
+    for f in range(folds):
+        h, n = Model([lang], [[t for i, t in enumerate(cut) if i % folds != f]]).entropies(strings(pa.array(cut[f::folds], pa.large_string())))
+        hs.append(h[:, 0])
+        ns.append(n)
+    return np.concatenate(hs), np.concatenate(ns)
+
+
 def _discount(counts: np.ndarray) -> float:
     one, two = int((counts == 1).sum()), int((counts == 2).sum())
     return one / (one + 2 * two) if one and two else 0.5
@@ -207,7 +248,7 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_DOCS) -> Model:
     part = lambda held: [[t for lang, k, t in rows if lang == x and (k % 5 == 0) == held] for x in langs]
     model = Model(langs, [a or b for a, b in zip(part(False), part(True))]) if langs else Model([], [])
     if langs:
-        model.calibrate(part(True))
+        model.calibrate(part(True), [[t for lang, _, t in rows if lang == x] for x in langs])
     return model
 
 

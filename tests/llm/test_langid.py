@@ -105,3 +105,19 @@ def test_sample_is_bounded_and_repeatable(spark):
 def test_query_keeps_every_row(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert langid.query(spark, SF).count() == docs.count()
+
+
+@pytest.mark.parametrize("docs,chars", [(4, 2000), (1, 400), (60, 60)])
+def test_rejection_at_any_size(labelled, spark, docs, chars):
+    """A rare language, one of a single document, and one of short texts alone reject gibberish and keep their own."""
+    by = {}
+    for x, t in labelled:
+        if len(t) > 150 and x:
+            by.setdefault(x, []).append(t[:chars])
+    rows = [(i, t, x) for x, ts in sorted(by.items()) for i, t in enumerate(ts[:docs])]
+    m = langid.fit(brute.table(spark, rows))
+    r = random.Random(3)
+    junk = ["".join(r.choice("qxzjkvwyh ") for _ in range(300)) for _ in range(20)]
+    assert m.choose(pa.array(junk, pa.large_string()))[0] == [langid.UND] * 20
+    own = [t for ts in by.values() for t in ts[docs : docs + 20]]
+    assert np.mean([x != langid.UND for x in m.choose(pa.array(own, pa.large_string()))[0]]) > 0.9
