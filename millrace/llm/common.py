@@ -4,10 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+#: Bytes of an Arrow batch that goes to a Python worker, so that its memory follows neither the number of rows in a batch nor
+#: their length (one row that is longer goes alone). A session that has set its own bound keeps it.
+BATCH_BYTES = 8 << 20
+_ARROW_BYTES, _ARROW_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 _scratch: dict[str, str] = {}
 
 
@@ -16,10 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """This session's folder below spark.checkpoint.dir, which all executors share; removed when the driver ends."""
+    """This session's folder below spark.checkpoint.dir, which all executors share; removed when the driver ends. Only a
+    local session, whose executors are this process, may do without that setting."""
     sc = spark.sparkContext
     if sc.applicationId not in _scratch:
-        base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or tempfile.mkdtemp(prefix="millrace-")
+        base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+        if not base:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            base = tempfile.mkdtemp(prefix="millrace-")
         path = f"{base.rstrip('/')}/millrace-{uuid.uuid4().hex}"
         hadoop = sc._jvm.org.apache.hadoop.fs.Path(path)
         fs = hadoop.getFileSystem(sc._jsc.hadoopConfiguration())
@@ -37,6 +49,19 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """``df.mapInArrow`` in batches of bounded bytes; what a worker's pool has kept is given back after its last batch."""
+    spark = df.sparkSession
+    if spark.conf.get(_ARROW_BYTES) == _ARROW_DEFAULT:
+        spark.conf.set(_ARROW_BYTES, str(BATCH_BYTES))
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(bounded, schema)
+
+
 def text_key(text: Column | str = "text") -> Column:
     """With doc_id, the identity of a row: rows that agree in both are one document repeated."""
     return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
@@ -44,6 +69,6 @@ def text_key(text: Column | str = "text") -> Column:
 
 def small(df: DataFrame, limit_rows: int, elements: str | None = None) -> bool:
     """Whether a staged table has at most so many rows, and its array column four times as many elements (it decides
-    only how a join runs, never its result)."""
+    only how a join runs, never its result). Its rows are numbers, so rows bound bytes."""
     n, m = df.agg(F.count("*"), F.sum(F.size(elements)) if elements else F.lit(0)).first()
     return n <= limit_rows and (m or 0) <= 4 * limit_rows
