@@ -1,23 +1,33 @@
 """Incremental, reversible line dedup: exact reference counts behind sharded cuckoo filters.
 
-A line's identity is 128 bits of hash of its normal form (trimmed, white space squeezed, lower case). A ``LineStore``
+A line's identity is 128 bits of hash of its normal form (white space squeezed, trimmed, lower case). A ``LineStore``
 holds, as tables in one folder, only ever appended to:
 
-* postings (batch, doc_id, text_key, line_no, h1, h2): where each line stands, so that documents can be taken out;
+* postings (batch, doc_id, text_key, line_no, h1, h2, sign): where each line stands, so that documents can be taken out;
 * refs (shard, h1, h2, delta): +n or -n references to a line; their sum is its exact reference count;
-* filters (shard, version, blob): a cuckoo filter of the lines with a positive count; the last version counts.
+* filters (shard, version, blob): a cuckoo filter of the lines with a positive count; the last version counts;
+* drops (doc_id, text_key, line_no, sign): lines that documents lose now, +1 when an insertion drops one, -1 when a deletion
+  gives it back;
+* log (version, shards, name, path): the files of each finished change. A store that is opened again reads it; files of a
+  change that was broken off are in no log and count for nothing.
 
 An insertion probes each shard's filter first: a miss is certainly new, and only hits (true ones and the few false
 ones) are looked up in refs. Each line without a positive count, a false hit too, gets a fingerprint of its own, so
 that no line leans on another's. A deletion appends negative references and takes the fingerprints of lines that reach
-zero out of the filters, which Bloom filters could not do. Shards are worked on independently and in parallel; their
-number follows the data, so a filter stays a few MB. A document's text is moved at most once, to meet its verdicts.
+zero out of the filters, which Bloom filters could not do; it looks only at lines of the documents that go. Shards are worked on
+independently and in parallel; their number follows the data, so a filter stays a few MB. A document's text is moved at most
+once, to meet its verdicts.
+
+``dedup_lines`` takes a table in ``BATCHES`` ranges of doc_id, each held against those before it. The query does so
+too, then withdraws the documents that ``labels`` calls toxic and takes them in again, as the last batch.
 
 Defined results
 * of equal lines the first is kept: by batch, then doc_id (nulls last), then text hash, then line number;
 * lines whose normal form has fewer than ``MIN_CHARS`` characters are always kept, blank ones among them;
 * null text stays null; a document whose every line goes has an empty text; empty tables give empty tables;
-* rows equal in doc_id and text are one document repeated and get the same result; columns pass through untouched.
+* rows equal in doc_id and text are one document repeated and get the same result; columns pass through untouched;
+* a document inserted again without a deletion between is a repetition of itself: all its lines are dropped; deleting one that
+  is not held does nothing, deleting one takes out all its insertions.
 """
 
 from __future__ import annotations
@@ -31,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .common import shared_dir, small, stage, table, text_key
 
-MIN_CHARS = 8
+MIN_CHARS, BATCHES = 8, 2
 KEYS_A_SHARD = 250_000
 #: Verdicts on at most so many documents (and four times as many lines) go to the documents by broadcast; more meet them in a shuffle, to the same effect.
 BROADCAST_ROWS = 200_000
@@ -119,7 +129,7 @@ class Cuckoo:
 
 
 def normal(line: Column) -> Column:
-    return F.lower(F.regexp_replace(F.trim(line), r"[ \t\r\f\u000b]+", " "))
+    return F.lower(F.trim(F.regexp_replace(line, r"[ \t\r\f\u000b]+", " ")))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -170,18 +180,31 @@ def _filters(keys: DataFrame, filters: DataFrame, version: int) -> DataFrame:
 
 class LineStore:
     """See the module. ``shards`` stays as it was when the store was made; a filter that runs full is built anew,
-    larger, from the exact counts."""
+    larger, from the exact counts. With the ``path`` of a store it goes on where that one ended."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, shards: int | None = None):
         self.spark, self.path, self.shards, self.version = spark, path or f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}", shards, 0
-        self._files: dict[str, list[str]] = {"postings": [], "refs": [], "filters": []}
+        self._files: dict[str, list[str]] = {"postings": [], "refs": [], "filters": [], "drops": []}
+        self._new: list[tuple[str, str]] = []
+        log = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/log")
+        if path and log.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(log):
+            for r in spark.read.parquet(f"{self.path}/log/*").orderBy("version").collect():  # a row a file
+                self._files[r["name"]].append(r["path"])
+                self.version, self.shards = max(self.version, r["version"]), r["shards"]
 
     def _append(self, name: str, df: DataFrame) -> DataFrame:
         path = f"{self.path}/{name}/v{self.version}-{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(path)
-        self._files[name].append(path)
+        self._new.append((name, path))
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def _commit(self) -> None:
+        rows = [(self.version, self.shards, name, path) for name, path in self._new]
+        self.spark.createDataFrame(rows, "version int, shards int, name string, path string").coalesce(1).write.parquet(f"{self.path}/log/v{self.version}-{uuid.uuid4().hex}")
+        for name, path in self._new:
+            self._files[name].append(path)
+        self._new = []
+
     def read(self, name: str) -> DataFrame | None:
         return self.spark.read.parquet(*self._files[name]) if self._files[name] else None
 
@@ -189,20 +212,27 @@ class LineStore:
         f = self.read("filters")
         if f is None:
             return self.spark.createDataFrame([], "shard int, blob binary")
-        return f.groupBy("shard").agg(F.max_by("blob", "version").alias("blob"))
+        last = f.groupBy("shard").agg(F.max("version").alias("version"))  # blobs of older versions are not read
+        return f.join(F.broadcast(last), ["shard", "version"]).select("shard", "blob")
+
+    def _small(self, df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if small(df, BROADCAST_ROWS) else df
 
-    def counts(self) -> DataFrame:
-        """(h1, h2, refs): the exact reference counts, of lines that have any."""
+    def counts(self, of: DataFrame | None = None) -> DataFrame:
+        """(h1, h2, refs): the exact reference counts, of lines that have any (of the staged keys ``of``)."""
         r = self.read("refs")
         if r is None:
             return self.spark.createDataFrame([], "h1 bigint, h2 bigint, refs bigint")
+        if of is not None:
+            r = r.join(self._small(of), ["h1", "h2"], "left_semi")
         return r.groupBy("h1", "h2").agg(F.sum("delta").alias("refs")).filter("refs > 0")
 
-    def owners(self) -> DataFrame:
-        """(h1, h2, owner): the posting that keeps each line."""
-        p = self.read("postings")
-        live = p.groupBy("batch", "doc_id", "text_key", "line_no", "h1", "h2").agg(F.sum("sign").alias("n")).filter("n > 0")
-        return live.groupBy("h1", "h2").agg(F.min(_order()).alias("owner"))
+    def drops(self) -> DataFrame:
+        """(doc_id, text_key, line_no): the lines that the documents held lose now."""
+        d = self.read("drops")
+        if d is None:
+            return self.spark.createDataFrame([], "doc_id bigint, text_key bigint, line_no int")
+        return d.groupBy("doc_id", "text_key", "line_no").agg(F.sum("sign").alias("n")).filter("n > 0").drop("n")
 
     def _update(self, keys: DataFrame) -> None:
         """Bring the filters up to date: keys as ``_filters`` has them, their references appended before."""
@@ -210,12 +240,13 @@ class LineStore:
         self._append("filters", built.filter("blob is not null").select("shard", "version", "blob"))
         full = built.filter("blob is null").select("shard")
         if full.head(1):
-            left = self.read("refs").join(full, "shard", "left_semi").groupBy("shard", "h1", "h2").agg(F.sum("delta").alias("delta")).filter("delta > 0")
+            refs = self.spark.read.parquet(*self._files["refs"], *[p for n, p in self._new if n == "refs"])
+            left = refs.join(full, "shard", "left_semi").groupBy("shard", "h1", "h2").agg(F.sum("delta").alias("delta")).filter("delta > 0")
             again = _filters(left, self.spark.createDataFrame([], "shard int, blob binary"), self.version)
             self._append("filters", again.select("shard", "version", "blob"))
 
     def insert(self, docs: DataFrame) -> DataFrame:
-        """Take in ``docs``; returns the postings that are to be dropped: (doc_id, text_key, line_no)."""
+        """Take in ``docs``; returns the postings that are dropped: (doc_id, text_key, line_no)."""
         self.version += 1
         lines = lines_of(docs).withColumn("batch", F.lit(self.version))
         # rows that repeat one document hold one posting
@@ -223,37 +254,58 @@ class LineStore:
         per = posted.groupBy("h1", "h2").agg(F.count("*").alias("delta"), F.min(_order()).alias("first"))
         if self.shards is None:
             self.shards = max(8, -(-posted.count() // KEYS_A_SHARD))
-        keys = per.select(_shard(self.shards).alias("shard"), "h1", "h2", "delta", F.lit(False).alias("gone"))
-        old = self.read("refs")
-        keys = self._append("refs", keys)
-        if old is None:
+        keys = self._append("refs", per.select(_shard(self.shards).alias("shard"), "h1", "h2", "delta"))
+        held = None
+        if not self._files["refs"]:
             self._update(keys)
         else:  # hits of the filters, looked up in the exact counts as they were
             maybe = stage(_probe(keys, self._current_filters()), "probed")
-            held = stage(old.join(maybe, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.sum("delta").alias("n")).filter("n > 0").select("h1", "h2"), "held")
-            self._update(keys.join(held, ["h1", "h2"], "left_anti").select("shard", "h1", "h2", "delta"))
+            held = stage(self.counts(maybe).select("h1", "h2"), "held")
+            self._update(keys.join(self._small(held), ["h1", "h2"], "left_anti").select("shard", "h1", "h2", "delta"))
         doubtful = posted.join(per.filter("delta > 1").select("h1", "h2", "first"), ["h1", "h2"]).filter(_order() != F.col("first"))
         drop = doubtful.select("doc_id", "text_key", "line_no")
-        if old is not None:
-            drop = drop.unionByName(posted.join(held, ["h1", "h2"], "left_semi").select("doc_id", "text_key", "line_no")).distinct()
-        return drop
+        if held is not None:
+            drop = drop.unionByName(posted.join(self._small(held), ["h1", "h2"], "left_semi").select("doc_id", "text_key", "line_no")).distinct()
+        drop = self._append("drops", drop.withColumn("sign", F.lit(1)))
+        self._commit()
+        return drop.drop("sign")
 
     def delete(self, docs: DataFrame) -> DataFrame:
         """Take documents out (doc_id and text as they went in); returns the postings that now keep their line
-        because the one that kept it has gone: (doc_id, text_key, line_no)."""
+        because the one that kept it has gone: (doc_id, text_key, line_no). Only lines of these documents are looked at."""
         self.version += 1
-        before = stage(self.owners(), "owners")
-        ids = docs.select("doc_id", text_key().alias("text_key")).distinct()
-        live = self.read("postings").groupBy("batch", "doc_id", "text_key", "line_no", "h1", "h2").agg(F.sum("sign").alias("n")).filter("n > 0")
-        d = ids.select(F.col("doc_id").alias("i"), F.col("text_key").alias("k"))
-        out = self._append("postings", live.join(d, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_key") == F.col("k")), "left_semi").select("batch", "doc_id", "text_key", "line_no", "h1", "h2", (-F.col("n")).cast("int").alias("sign")))
-        per = out.groupBy("h1", "h2").agg(F.sum("sign").alias("delta"))
-        now = per.join(self.counts(), ["h1", "h2"])
+        place = ["batch", "doc_id", "text_key", "line_no", "h1", "h2"]
+        held = self.read("postings")
+        ids = stage(docs.select(F.col("doc_id").alias("i"), text_key().alias("k")).distinct(), "ids")
+        mine = held.join(self._small(ids), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_key") == F.col("k")), "left_semi")
+        out = self._append("postings", mine.groupBy(*place).agg(F.sum("sign").alias("n")).filter("n > 0").select(*place, (-F.col("n")).cast("int").alias("sign")))
+        keys = stage(out.groupBy("h1", "h2").agg(F.sum("sign").alias("delta")), "keys")
+        now = keys.join(self.counts(keys), ["h1", "h2"])
         changed = self._append("refs", now.select(_shard(self.shards).alias("shard"), "h1", "h2", "delta", (F.col("refs") + F.col("delta") <= 0).alias("gone")))
         self._update(changed.filter("gone").select("shard", "h1", "h2", "delta"))
-        after = self.owners().join(per.select("h1", "h2"), ["h1", "h2"], "left_semi")
-        moved = after.join(before.withColumnRenamed("owner", "was"), ["h1", "h2"]).filter(F.col("owner") != F.col("was"))
-        return moved.select("owner.doc_id", "owner.text_key", "owner.line_no")
+        touched = held.join(self._small(keys), ["h1", "h2"], "left_semi").select(*place, "sign", F.lit(False).alias("new")).unionByName(out.withColumn("new", F.lit(True)))
+        each = touched.groupBy(*place).agg(F.sum(F.when(~F.col("new"), F.col("sign"))).alias("was"), F.sum("sign").alias("is"))
+        each = stage(each.filter("was > 0").select(*place, (F.col("is") > 0).alias("stays")), "touched")
+        owners = each.groupBy("h1", "h2").agg(F.min(_order()).alias("before"), F.min(F.when(F.col("stays"), _order())).alias("after"))
+        back = each.join(owners, ["h1", "h2"]).filter((_order() != F.col("before")) & (~F.col("stays") | (_order() == F.col("after"))))
+        back = stage(back.select("doc_id", "text_key", "line_no", "stays"), "back")
+        # a repeated insertion has dropped its lines once a batch
+        self._append("drops", back.select("doc_id", "text_key", "line_no", F.lit(-1).alias("sign")))
+        self._commit()
+        return back.filter("stays").select("doc_id", "text_key", "line_no")
+
+
+def batches(docs: DataFrame, n: int = BATCHES) -> list[DataFrame]:
+    """Ranges of doc_id, in order; null doc_ids are in the last."""
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    if low is None:
+        return [docs]
+    cuts = [low + (high - low) * k // n for k in range(1, n)]
+    lower, out = F.lit(True), []
+    for c in cuts:
+        out.append(docs.filter(lower & (F.col("doc_id") <= c)))
+        lower = F.col("doc_id") > c
+    return [*out, docs.filter(lower | F.col("doc_id").isNull())]
 
 
 def apply_drops(docs: DataFrame, drop: DataFrame) -> DataFrame:
@@ -273,12 +325,34 @@ def _kept() -> Column:
 
 def dedup_lines(docs: DataFrame, store: LineStore | None = None) -> DataFrame:
     """``docs`` (same columns) without the lines that ``store`` or an earlier line of ``docs`` holds."""
-    store = store or LineStore(docs.sparkSession)
-    return apply_drops(docs, store.insert(docs)).withColumn("text", _kept()).select(*docs.columns)
+    if store:
+        drops = store.insert(docs)
+    else:
+        store = LineStore(docs.sparkSession)
+        for part in batches(docs):
+            store.insert(part)
+        drops = store.drops()
+    return apply_drops(docs, drops).withColumn("text", _kept()).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    d = apply_drops(docs, LineStore(spark).insert(docs))
+    toxic = table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id").distinct()
+    withdrawn = docs.join(toxic, "doc_id", "left_semi")
+    store = LineStore(spark)
+    for part in batches(docs):
+        store.insert(part)
+    store.delete(withdrawn)
+    store.insert(withdrawn)
+    d = apply_drops(docs, store.drops())
     n = F.size(F.split("text", "\n"))
     return d.select("doc_id", _kept().alias("text"), n.alias("lines"), F.coalesce(F.size("__mr_drop"), F.lit(0)).alias("dropped"))
+
+
+ORACLE_SQL = f"""
+WITH d AS (SELECT DISTINCT doc_id, text, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN {BATCHES + 1} WHEN doc_id <= (SELECT min(doc_id) + (max(doc_id) - min(doc_id)) // {BATCHES} FROM documents) THEN 1 ELSE {BATCHES} END AS batch FROM documents WHERE text IS NOT NULL),
+x AS (SELECT *, lower(trim(regexp_replace(line, '[ \t\r\f\x0b]+', ' ', 'g'), ' ')) AS k FROM (SELECT doc_id, text, batch, unnest(range(len(ls))) AS i, unnest(ls) AS line FROM (SELECT *, string_split(text, chr(10)) AS ls FROM d))),
+y AS (SELECT *, length(k) >= {MIN_CHARS} AND row_number() OVER (PARTITION BY k ORDER BY batch, doc_id NULLS LAST, text, i) > 1 AS gone FROM x),
+z AS (SELECT doc_id, text, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS kept, count(*) AS lines, count(*) FILTER (WHERE gone) AS dropped FROM y GROUP BY doc_id, text)
+SELECT documents.doc_id, kept AS text, CAST(lines AS INTEGER) AS lines, CAST(coalesce(dropped, 0) AS INTEGER) AS dropped FROM documents LEFT JOIN z ON documents.doc_id IS NOT DISTINCT FROM z.doc_id AND documents.text = z.text
+"""

@@ -26,12 +26,12 @@ def grams(text, n):
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
 
 
-def line_dedup(rows, min_chars):
-    """Texts of (doc_id, text) after line dedup, in the order of the rows; documents go by id, then text hash, which
-    only matters for rows of one id: fixtures have none that share a line."""
-    norm = lambda s: re.sub(r"[ \t\r\f\v]+", " ", s.strip(" ")).lower()
+def line_dedup(rows, min_chars, batch=lambda d: 0):
+    """Texts of (doc_id, text) after line dedup, in the order of the rows; documents go by batch, then id, then text hash,
+    which only matters for rows of one id: fixtures have none that share a line."""
+    norm = lambda s: re.sub(r"[ \t\r\f\v]+", " ", s).strip(" ").lower()
     owner = {}
-    for d, t in sorted({r for r in rows if r[1] is not None}, key=lambda r: (r[0] is None, r[0] or 0)):
+    for d, t in sorted({r for r in rows if r[1] is not None}, key=lambda r: (batch(r[0]), r[0] is None, r[0] or 0)):
         for i, x in enumerate(t.split("\n")):
             owner.setdefault(norm(x), (d, t, i))
     out = []
