@@ -1,16 +1,18 @@
 """Chat formatting with typed content parts.
 
 A message's content is an array of typed parts (text, image, audio, document), a JSON array of such parts in a string,
-or a plain string, which is one text part. A visitor walks the parts of a conversation in order: text is written out,
-every other part leaves a numbered placeholder, a reference to its attachment, and the tokens that it expands to. It
-is one fold over an array in native expressions; the only shuffle brings a conversation's messages together.
+or a plain string, which is one text part. A visitor turns each part of a conversation, in order, into a segment: text is written
+out, every other part leaves a mark, a reference to its attachment, and the tokens that it expands to. The marks are then numbered
+in order. Each step is linear in the conversation and a native expression; the only shuffle brings a conversation's
+messages together.
 
 Defined results
 * messages are ordered by turn (nulls first), then role, then content; repeated messages stay;
+* ``<|`` in a text or role is written ``<\\|``, so that no message can write a control mark (a turn, an end, a placeholder) of its own;
 * a null role is ``unknown``; a null or empty content is a message without parts; null parts are skipped;
 * a string that begins with ``[`` but is no JSON array of parts is plain text;
 * a part of unknown or null type leaves ``<|file_n|>`` and expands to nothing; missing sizes count as the least;
-* rows with a null conv_id are one conversation; other columns, whatever their names, play no part.
+* rows with a null conv_id are one conversation; other columns, whatever their names, play no part; empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from .common import table
 
 PART = "struct<type:string,text:string,uri:string,width:bigint,height:bigint,seconds:double,pages:bigint>"
@@ -50,31 +53,37 @@ def expanded(p: Column) -> Column:
     )
 
 
+def escaped(c: Column) -> Column:
+    return F.replace(c, F.lit("<|"), F.lit("<\\|"))
+
+
+def visit(p: Column, turn: Column) -> Column:
+    """The segment of one part: text to write (null for an attachment) and what an attachment refers to."""
+    text = p["type"].eqNullSafe("text")
+    kind = F.when(p["type"].isin(*KINDS), p["type"]).otherwise("file")
+    return F.struct(F.when(text, escaped(F.coalesce(p["text"], F.lit("")))).alias("text"), turn.alias("turn"), kind.alias("type"), p["uri"].alias("uri"), expanded(p).alias("tokens"))
+
+
 def render(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, role, parts) to (conv_id, prompt, messages, tokens, attachments)."""
     ref = "struct<n:int,turn:bigint,type:string,uri:string,tokens:bigint>"
     m = messages.select("conv_id", F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.filter("parts", lambda p: p.isNotNull()).alias("parts")).alias("m"))
     c = m.groupBy("conv_id").agg(F.array_sort(F.collect_list("m")).alias("ms"))
+    mark = lambda s: F.struct(s.alias("text"), F.lit(None).cast("long").alias("turn"), F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("uri"), F.lit(0).cast("long").alias("tokens"))
 
-    def part(a: Column, p: Column, turn: Column) -> Column:
-        text = p["type"].eqNullSafe("text")
-        n = F.size(a["refs"]) + 1
-        kind = F.when(p["type"].isin(*KINDS), p["type"]).otherwise("file")
-        new = F.struct(n.alias("n"), turn.alias("turn"), kind.alias("type"), p["uri"].alias("uri"), expanded(p).alias("tokens")).cast(ref)
-        return F.struct(
-            F.concat(a["out"], F.when(text, F.coalesce(p["text"], F.lit(""))).otherwise(F.concat(F.lit("<|"), kind, F.lit("_"), n.cast("string"), F.lit("|>")))).alias("out"),
-            F.when(text, a["refs"]).otherwise(F.concat(a["refs"], F.array(new))).alias("refs"),
-            (a["tokens"] + expanded(p)).alias("tokens"),
-        )
+    def message(x: Column) -> Column:
+        return F.concat(F.array(mark(F.concat(F.lit("<|"), escaped(x["role"]), F.lit("|>\n")))), F.transform(x["parts"], lambda p: visit(p, x["turn"])), F.array(mark(F.lit("\n<|end|>\n"))))
 
-    def message(a: Column, x: Column) -> Column:
-        opened = F.struct(F.concat(a["out"], F.lit("<|"), x["role"], F.lit("|>\n")).alias("out"), a["refs"].alias("refs"), a["tokens"].alias("tokens"))
-        body = F.aggregate(x["parts"], opened, lambda b, p: part(b, p, x["turn"]))
-        return F.struct(F.concat(body["out"], F.lit("\n<|end|>\n")).alias("out"), body["refs"].alias("refs"), body["tokens"].alias("tokens"))
+    def numbered(xs: Column) -> Column:
+        refs = F.transform(F.filter(xs, lambda x: x["text"].isNull()), lambda x, i: F.struct((i + 1).alias("n"), x["turn"].alias("turn"), x["type"].alias("type"), x["uri"].alias("uri"), x["tokens"].alias("tokens"))).cast(f"array<{ref}>")
+        # no text holds the mark <|#|>: it would have been escaped
+        written = F.split(F.array_join(F.transform(xs, lambda x: F.coalesce(x["text"], F.lit("<|#|>"))), ""), r"<\|#\|>")
+        return F.struct(written.alias("written"), refs.alias("refs"), F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x["tokens"]).alias("tokens"))
 
-    start = F.struct(F.lit("").alias("out"), F.array().cast(f"array<{ref}>").alias("refs"), F.lit(0).cast("long").alias("tokens"))
-    c = c.withColumn("v", F.aggregate("ms", start, message))
-    return c.select("conv_id", F.col("v.out").alias("prompt"), F.size("ms").alias("messages"), F.col("v.tokens").alias("tokens"), F.col("v.refs").alias("attachments"))
+    name = lambda r: F.concat(F.lit("<|"), r["type"], F.lit("_"), r["n"].cast("string"), F.lit("|>"))
+    c = c.withColumn("v", let(F.flatten(F.transform("ms", message)), numbered))
+    prompt = F.array_join(F.zip_with("v.written", "v.refs", lambda w, r: F.concat(w, F.when(r.isNotNull(), name(r)).otherwise(""))), "")
+    return c.select("conv_id", prompt.alias("prompt"), F.size("ms").alias("messages"), F.col("v.tokens").alias("tokens"), F.col("v.refs").alias("attachments"))
 
 
 def format_chats(conversations: DataFrame, content: str = "text") -> DataFrame:
@@ -108,7 +117,7 @@ t AS (SELECT *, len(regexp_extract_all(text, '[^ \t\n\r\f]+')) AS words,
       CASE k WHEN 1 THEN 'image' WHEN 2 THEN 'audio' WHEN 3 THEN 'document' END AS kind,
       sum(CASE WHEN k > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS i FROM m),
 p AS (SELECT *, CASE WHEN k > 0 THEN '<|' || kind || '_' || CAST(i AS BIGINT) || '|>' ELSE '' END AS mark FROM t)
-SELECT conv_id, string_agg('<|' || role || '|>' || chr(10) || CASE WHEN turn % 2 = 1 THEN mark || text ELSE text || mark END || chr(10) || '<|end|>' || chr(10), '' ORDER BY turn, role, text) AS prompt,
+SELECT conv_id, string_agg('<|' || replace(role, '<|', '<\|') || '|>' || chr(10) || CASE WHEN turn % 2 = 1 THEN mark || replace(text, '<|', '<\|') ELSE replace(text, '<|', '<\|') || mark END || chr(10) || '<|end|>' || chr(10), '' ORDER BY turn, role, text) AS prompt,
        CAST(count(*) AS INTEGER) AS messages, CAST(sum(words + extra) AS BIGINT) AS tokens, CAST(sum(CASE WHEN k > 0 THEN 1 ELSE 0 END) AS INTEGER) AS n_attachments,
        coalesce(string_agg(CASE WHEN k > 0 THEN CAST(i AS BIGINT) || ':' || turn || ':' || kind || ':attachments/' || conv_id || '/' || turn || ':' || CAST(extra AS BIGINT) END, ';' ORDER BY turn, role, text), '') AS attachments
 FROM p GROUP BY conv_id
