@@ -1,15 +1,16 @@
 """Best-fit packing with large-item matching.
 
-A document's length is its number of words (``lengths``; another measure can be given as a column). A document longer
+A document's length is its number of words, or what the column ``measure`` holds (tokens of some tokenizer). A document longer
 than the capacity is cut into full bins and a rest, so nothing is truncated. Items above a third of the capacity are
 paired, at most two in a bin, each with the largest that still fits; the smaller ones then go, longest first, into
-the tightest gap left. Only (doc_id, length) is shuffled, never text: documents are spread by a hash over groups of
+the tightest gap left. Only (doc_id, text hash, length) is shuffled, never text: documents are spread by a hash over groups of
 about ``GROUP`` that are packed independently, so the work is the same a document at any size and only the last few
 bins of a group can be loose.
 
 Defined results
-* null or empty texts have length 0 and take no place: they are in no bin;
-* equal lengths are ordered by doc_id (nulls first), so the result does not depend on partitions;
+* null or empty texts, and null, zero or negative measures, have length 0 and take no place: they are in no bin;
+* equal lengths are ordered by doc_id (nulls first), then text hash, so the result does not depend on partitions; where other
+  rows come, the groups and the bins of all documents may change, as in any packing;
 * rows that repeat a doc_id are separate items; an empty table gives no bins.
 """
 
@@ -24,23 +25,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stage, table
+from .common import in_arrow, stage, table, text_key
 from .words import Words, pieces, strings
 
 CAPACITY = 2048
 GROUP = 50_000
 
 
-def lengths(docs: DataFrame) -> DataFrame:
-    """(doc_id, __mr_len): the number of words of each row."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def lengths(docs: DataFrame, measure: str | None = None) -> DataFrame:
+    """(doc_id, text_key, __mr_len): the number of words of each row, or its ``measure``."""
+    ids = [F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key")]
+    if measure is not None:
+        return docs.select(*ids, F.coalesce(F.col(measure).cast("long"), F.lit(0)).alias("__mr_len"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = [np.diff(Words(p).first) for _, p in pieces(strings(b.column("text")))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.concatenate(n) if n else np.zeros(0, np.int64))], names=["doc_id", "__mr_len"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(np.concatenate(n) if n else np.zeros(0, np.int64))], names=["doc_id", "text_key", "__mr_len"])
 
-    return d.mapInArrow(run, "doc_id bigint, __mr_len bigint")
+    return in_arrow(docs.select(*ids, "text"), run, "doc_id bigint, text_key bigint, __mr_len bigint")
 
 
 class _Gaps:
@@ -106,7 +109,7 @@ def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
 
 
 def _group(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
-    pdf = pdf.sort_values(["__mr_len", "doc_id"], ascending=[False, True], na_position="first", kind="stable").reset_index(drop=True)
+    pdf = pdf.sort_values(["__mr_len", "doc_id", "text_key"], ascending=[False, True, True], na_position="first", kind="stable").reset_index(drop=True)
     n = pdf["__mr_len"].to_numpy()
     count = -(-n // capacity)
     row = np.repeat(np.arange(len(n)), count)
@@ -123,11 +126,11 @@ def _group(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
     return out
 
 
-def packed(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
+def packed(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP, measure: str | None = None) -> DataFrame:
     """(bin_id, slot, offset, doc_id, piece, start_token, n_tokens): where each piece of each document lies."""
-    n = stage(lengths(docs).filter("__mr_len > 0"), "lengths")
+    n = stage(lengths(docs, measure).filter("__mr_len > 0"), "lengths")
     groups = max(1, n.count() // group)
-    n = n.withColumn("__mr_group", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int"))
+    n = n.withColumn("__mr_group", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(groups)).cast("int"))
     schema = T.StructType.fromDDL("bin bigint, doc_id bigint, piece bigint, start_token bigint, n_tokens bigint, slot bigint, offset bigint, group int")
     out = n.groupBy("__mr_group").applyInPandas(lambda pdf: _group(pdf, capacity)[schema.names], schema)
     bin_id = F.shiftleft(F.col("group").cast("long"), 32) + F.col("bin")

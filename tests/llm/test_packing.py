@@ -43,3 +43,18 @@ def test_groups_are_tight(spark):
     lengths = {d: t.count("w") for d, t in rows}
     bins = brute.packed_ok(packing.packed(brute.table(spark, rows), capacity=256, group=300).collect(), lengths, 256)
     assert len(bins) <= 1.1 * sum(lengths.values()) / 256
+
+
+def test_the_same_at_any_partitioning_and_nulls_are_spread(spark):
+    rows = [(i % 50 if i % 3 else None, f"w{i} " * (1 + i % 9)) for i in range(900)]
+    d = brute.table(spark, rows)
+    one, many = (sorted(map(repr, packing.packed(x, capacity=16, group=100).collect())) for x in (d.coalesce(1), d.repartition(7)))
+    assert one == many
+    groups = {r.bin_id >> 32 for r in packing.packed(d, capacity=16, group=100).filter("doc_id is null").collect()}
+    assert len(groups) > 3
+
+
+def test_a_measure_of_tokens(spark):
+    d = brute.table(spark, [(1, "a b"), (2, "c"), (3, "d"), (4, None)]).selectExpr("*", "case doc_id when 1 then 7 when 2 then 25 when 3 then null else -1 end as tokens")
+    out = packing.packed(d, capacity=10, measure="tokens").collect()
+    brute.packed_ok(out, {1: 7, 2: 25, 3: 0, 4: 0}, 10)
