@@ -1,12 +1,13 @@
 """Quality rules by distribution divergence.
 
 Each document's histograms of character classes and of common words are held against the histograms of all documents
-of its language, by Jensen-Shannon divergence (base 2, so 0 to 1; its square root is the distance). Histograms are counted in numpy from Arrow batches
-in one narrow pass; the references are one aggregation to a row a language, broadcast after a look at their number;
+of its language, by Jensen-Shannon distance (the square root of the divergence to base 2, so 0 to 1). Histograms are counted in numpy
+by an Arrow function of text and language, to which no other column goes; they are counted once and staged beside the
+columns that are asked for. The references are one aggregation of them to a row a language, broadcast after a look at their number;
 scores are native expressions. Nothing else is shuffled.
 
 Defined results
-* null or empty text: no histogram, both divergences null, kept ("short");
+* null or empty text: no histogram, both distances null, kept ("short");
 * a test is made only from ``min_chars`` characters or ``min_words`` words on, and only if the language's reference
   holds ``min_reference`` of them; a null language is a language of its own; without a word list only characters count;
 * repeated rows score alike and are all kept or all rejected; columns of any other name pass through untouched.
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -41,16 +43,23 @@ BROADCAST_ROWS = 10_000
 
 @dataclass(frozen=True)
 class Rules:
-    """``char_limit`` and ``word_limit`` are the largest divergences kept. A text of n words differs from its own
-    source by about (N_COMMON / (8 n ln 2)) just by chance; ``chance`` times that is added to the word limit."""
+    """``char_limit`` and ``word_limit`` are the largest distances kept. Of n words from the language itself, the divergence is about
+    chi-squared / (8 n ln 2) just by chance, with ``N_COMMON`` degrees of freedom: what ``false_rejection`` of such texts exceed is
+    allowed on top (of the squared word limit)."""
 
-    char_limit: float = 0.1
-    word_limit: float = 0.03
-    chance: float = 2.0
+    char_limit: float = 0.3162
+    word_limit: float = 0.1732
+    false_rejection: float = 0.01
     min_chars: int = 150
     min_words: int = 20
     min_reference: int = 2000
 
+    @property
+    def by_chance(self) -> float:
+        """The divergence of one word's worth, by the Wilson-Hilferty quantile."""
+        z, k = NormalDist().inv_cdf(1 - self.false_rejection), N_COMMON
+        return k * (1 - 2 / (9 * k) + z * (2 / (9 * k)) ** 0.5) ** 3 / (8 * 0.6931471805599453)
+
 
 _BYTE_CLASS = np.full(256, 4, dtype=np.int64)
 _BYTE_CLASS[65:91], _BYTE_CLASS[97:123], _BYTE_CLASS[48:58] = 0, 1, 2
@@ -93,17 +102,16 @@ def histograms(texts: pa.Array, langs: list[str | None]) -> np.ndarray:
     return out
 
 
-def _with_histogram(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``__mr_h`` last; other columns as they are."""
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _histogram(texts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for text, lang in texts:
+        h = histograms(text, lang.to_pylist())
+        yield pa.ListArray.from_arrays(pa.array(np.arange(0, h.size + 1, h.shape[1], dtype=np.int32)), pa.array(h.ravel()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h = histograms(b.column("text"), b.column("lang").to_pylist())
-            col = pa.ListArray.from_arrays(pa.array(np.arange(0, h.size + 1, h.shape[1], dtype=np.int32)), pa.array(h.ravel()))
-            yield pa.RecordBatch.from_arrays([*b.columns, col], names=[*b.schema.names, "__mr_h"])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("__mr_h", T.ArrayType(T.LongType()))])
-    return docs.mapInArrow(run, schema)
+def _with_histogram(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of ``docs``, with ``__mr_h`` and the language again, staged."""
+    return stage(docs.select(*columns, F.col("lang").alias("__mr_of"), _histogram("text", "lang").alias("__mr_h")), "histograms")
 
 
 def _total(c: Column) -> Column:
@@ -122,40 +130,43 @@ def _jsd(p: Column, q: Column) -> Column:
     return F.aggregate(both, F.lit(0.0), lambda a, v: a + v) / 2
 
 
-def references(docs: DataFrame) -> DataFrame:
-    """(lang, __mr_ref): summed histograms over all documents of each language."""
-    h = _with_histogram(docs.select("text", "lang"))
+def references(counted: DataFrame) -> DataFrame:
+    """(__mr_lang, __mr_ref): summed histograms over all documents of each language."""
     width = 6 + N_COMMON + 1
-    sums = h.groupBy("lang").agg(*[F.sum(F.col("__mr_h")[i]).alias(f"s{i}") for i in range(width)])
-    return sums.select(F.col("lang").alias("__mr_lang"), F.array(*[f"s{i}" for i in range(width)]).alias("__mr_ref"))
+    sums = counted.groupBy("__mr_of").agg(*[F.sum(F.col("__mr_h")[i]).alias(f"s{i}") for i in range(width)])
+    return sums.select(F.col("__mr_of").alias("__mr_lang"), F.array(*[f"s{i}" for i in range(width)]).alias("__mr_ref"))
 
 
-def scored(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """``docs`` with ``__mr_chars``, ``__mr_words`` (counts), ``__mr_char_jsd``, ``__mr_word_jsd``, ``__mr_reason``."""
-    refs = stage(references(docs), "references")
-    h = _with_histogram(docs).join(F.broadcast(refs) if small(refs, BROADCAST_ROWS) else refs, F.col("lang").eqNullSafe(F.col("__mr_lang")), "left")
+def scored(docs: DataFrame, rules: Rules = Rules(), columns: list[str] | None = None) -> DataFrame:
+    """``columns`` of ``docs`` (all) with ``__mr_chars``, ``__mr_words`` (counts), ``__mr_char_distance``, ``__mr_word_distance``,
+    ``__mr_reason``."""
+    columns = columns or docs.columns
+    counted = _with_histogram(docs, columns)
+    refs = stage(references(counted), "references")
+    h = counted.join(F.broadcast(refs) if small(refs, BROADCAST_ROWS) else refs, F.col("__mr_of").eqNullSafe(F.col("__mr_lang")), "left")
     parts = lambda c: (F.slice(c, 1, 6), F.slice(c, 7, N_COMMON + 1))
     (pc_, pw), (qc, qw) = parts(F.col("__mr_h")), parts(F.col("__mr_ref"))
-    known = F.coalesce(F.col("lang").isin(*COMMON), F.lit(False))
+    known = F.coalesce(F.col("__mr_of").isin(*COMMON), F.lit(False))
+    distance = lambda p, q: F.sqrt(F.greatest(_jsd(p, q), F.lit(0.0)))
 
     def score(n: Column) -> Column:
-        chars = F.when((n["chars"] >= rules.min_chars) & (_total(qc) >= rules.min_reference), _jsd(pc_, qc))
-        words = F.when(known & (n["words"] >= rules.min_words) & (_total(qw) >= rules.min_reference), _jsd(pw, qw))
-        return F.struct(n["chars"].alias("chars"), n["words"].alias("words"), chars.alias("char_jsd"), words.alias("word_jsd"))
+        chars = F.when((n["chars"] >= rules.min_chars) & (_total(qc) >= rules.min_reference), distance(pc_, qc))
+        words = F.when(known & (n["words"] >= rules.min_words) & (_total(qw) >= rules.min_reference), distance(pw, qw))
+        return F.struct(n["chars"].alias("chars"), n["words"].alias("words"), chars.alias("char_distance"), words.alias("word_distance"))
 
     def judged(x: Column) -> Column:
-        limit = rules.word_limit + rules.chance * N_COMMON / (8 * 0.6931471805599453 * x["words"])
+        limit = F.sqrt(rules.word_limit**2 + rules.by_chance / x["words"])
         reason = (
-            F.when(x["char_jsd"].isNull() & x["word_jsd"].isNull(), "short")
-            .when(x["char_jsd"] > rules.char_limit, "characters")
-            .when(x["word_jsd"] > limit, "words")
+            F.when(x["char_distance"].isNull() & x["word_distance"].isNull(), "short")
+            .when(x["char_distance"] > rules.char_limit, "characters")
+            .when(x["word_distance"] > limit, "words")
             .otherwise("kept")
         )
-        return F.struct(x["chars"].alias("chars"), x["words"].alias("words"), x["char_jsd"].alias("char_jsd"), x["word_jsd"].alias("word_jsd"), reason.alias("reason"))
+        return F.struct(x["chars"].alias("chars"), x["words"].alias("words"), x["char_distance"].alias("char_distance"), x["word_distance"].alias("word_distance"), reason.alias("reason"))
 
-    # bound step by step: a filter on the reason would have the divergences computed once for each mention
+    # bound step by step: a filter on the reason would have the distances computed once for each mention
     h = h.withColumn("__mr_s", let(let(F.struct(_total(pc_).alias("chars"), _total(pw).alias("words")), score), judged))
-    return h.select(*docs.columns, *[F.col(f"__mr_s.{c}").alias(f"__mr_{c}") for c in ("chars", "words", "char_jsd", "word_jsd", "reason")])
+    return h.select(*columns, *[F.col(f"__mr_s.{c}").alias(f"__mr_{c}") for c in ("chars", "words", "char_distance", "word_distance", "reason")])
 
 
 def keep_good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -164,9 +175,9 @@ def keep_good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = scored(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    s = scored(table(spark, sf_dir, "documents"), columns=["doc_id"])
     return s.select(
-        "doc_id", F.col("__mr_chars").alias("chars"), F.col("__mr_words").alias("words"), F.round("__mr_char_jsd", 4).alias("char_jsd"), F.round("__mr_word_jsd", 4).alias("word_jsd"),
+        "doc_id", F.col("__mr_chars").alias("chars"), F.col("__mr_words").alias("words"), F.round("__mr_char_distance", 4).alias("char_distance"), F.round("__mr_word_distance", 4).alias("word_distance"),
         F.col("__mr_reason").alias("reason"), (~F.col("__mr_reason").isin("characters", "words")).alias("keep"),
     )
 
@@ -191,10 +202,10 @@ pq AS (SELECT ref.t, d.id, own.nt, tot.rt, coalesce(both_.n, 0) / own.nt AS p, r
   JOIN own ON own.t = ref.t AND own.id = d.id LEFT JOIN both_ ON both_.t = ref.t AND both_.id = d.id AND both_.b = ref.b WHERE own.nt > 0),
 j AS (SELECT t, id, any_value(nt) AS nt, any_value(rt) AS rt, sum({_LN.format("p", "q")} + {_LN.format("q", "p")}) / 2 AS jsd FROM pq GROUP BY t, id),
 s AS (SELECT d.doc_id, coalesce(c.nt, 0) AS chars, coalesce(w.nt, 0) AS words,
-  CASE WHEN c.nt >= {_R.min_chars} AND c.rt >= {_R.min_reference} THEN c.jsd END AS char_jsd,
-  CASE WHEN d.lang IN ({", ".join(f"'{x}'" for x in COMMON)}) AND w.nt >= {_R.min_words} AND w.rt >= {_R.min_reference} THEN w.jsd END AS word_jsd
+  CASE WHEN c.nt >= {_R.min_chars} AND c.rt >= {_R.min_reference} THEN sqrt(greatest(c.jsd, 0)) END AS char_distance,
+  CASE WHEN d.lang IN ({", ".join(f"'{x}'" for x in COMMON)}) AND w.nt >= {_R.min_words} AND w.rt >= {_R.min_reference} THEN sqrt(greatest(w.jsd, 0)) END AS word_distance
   FROM d LEFT JOIN j c ON c.id = d.id AND c.t = 'c' LEFT JOIN j w ON w.id = d.id AND w.t = 'w'),
-v AS (SELECT *, CASE WHEN char_jsd IS NULL AND word_jsd IS NULL THEN 'short' WHEN char_jsd > {_R.char_limit} THEN 'characters'
-  WHEN word_jsd > {_R.word_limit} + {_R.chance} * {N_COMMON} / (8 * 0.6931471805599453 * words) THEN 'words' ELSE 'kept' END AS reason FROM s)
-SELECT doc_id, CAST(chars AS BIGINT) AS chars, CAST(words AS BIGINT) AS words, round(char_jsd, 4) AS char_jsd, round(word_jsd, 4) AS word_jsd, reason, reason NOT IN ('characters', 'words') AS keep FROM v
+v AS (SELECT *, CASE WHEN char_distance IS NULL AND word_distance IS NULL THEN 'short' WHEN char_distance > {_R.char_limit} THEN 'characters'
+  WHEN word_distance > sqrt({_R.word_limit**2} + {_R.by_chance} / words) THEN 'words' ELSE 'kept' END AS reason FROM s)
+SELECT doc_id, CAST(chars AS BIGINT) AS chars, CAST(words AS BIGINT) AS words, round(char_distance, 4) AS char_distance, round(word_distance, 4) AS word_distance, reason, reason NOT IN ('characters', 'words') AS keep FROM v
 """

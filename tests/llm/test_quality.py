@@ -33,7 +33,7 @@ def test_junk_goes_and_prose_stays(spark):
 
 def test_empty_and_clashing_columns(spark):
     assert quality.scored(brute.table(spark, [])).count() == 0
-    d = brute.table(spark, [(i, prose(100, i)) for i in range(30)]).selectExpr("*", "1 as reason", "2 as keep", "3 as words", "4 as s0")
+    d = brute.table(spark, [(i, prose(100, i)) for i in range(30)]).selectExpr("*", "1 as reason", "2 as keep", "3 as words", "4 as s0", "5 as __mr_x")
     assert quality.keep_good(d).columns == d.columns and quality.keep_good(d).count() == 30
 
 
@@ -42,7 +42,7 @@ def test_divergence_is_the_formula(spark):
 
     rows = [(1, "The cat 12, sat"), (2, "of the: dog  ran!")]
     rules = quality.Rules(min_chars=1, min_words=1, min_reference=1)
-    got = {r[0]: r[1] for r in quality.scored(brute.table(spark, rows), rules).select("doc_id", "__mr_char_jsd").collect()}
+    got = {r[0]: r[1] for r in quality.scored(brute.table(spark, rows), rules).select("doc_id", "__mr_char_distance").collect()}
 
     def hist(t):
         kinds = [str.isupper, str.islower, str.isdigit, str.isspace]
@@ -54,4 +54,23 @@ def test_divergence_is_the_formula(spark):
     for d, h in hs.items():
         p, q = [x / sum(h) for x in h], [x / sum(ref) for x in ref]
         want = sum(x * math.log2(2 * x / (x + y)) for a, b in ((p, q), (q, p)) for x, y in zip(a, b) if x) / 2
-        assert abs(got[d] - want) < 1e-12
+        assert abs(got[d] - math.sqrt(want)) < 1e-9
+
+
+def test_allowance_is_the_chance_of_the_words(spark):
+    """Texts drawn from the language itself: no more of them than stated go beyond the allowance."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    q = rng.dirichlet(np.ones(quality.N_COMMON + 1) * 5)
+    n, rules = 400, quality.Rules()
+    p = rng.multinomial(n, q, size=4000) / n
+    term = lambda x, y: np.where(x > 0, x * np.log2(np.maximum(2 * x / (x + y), 1e-300)), 0)
+    jsd = (term(p, q) + term(q, p)).sum(axis=1) / 2
+    assert 0.002 < (jsd > rules.by_chance / n).mean() < 0.02
+
+
+def test_recall_on_labels(spark):
+    found = quality.query(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").groupBy("quality", "keep").count().collect()
+    n = {(r.quality, r.keep): r["count"] for r in found}
+    assert not n.get((1, False)) and n[0, False] > 0.7 * (n[0, False] + n.get((0, True), 0))
