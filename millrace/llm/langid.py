@@ -1,7 +1,7 @@
 """Language identification with interpolated Kneser-Ney character models.
 
 Each language has a character 4-gram model. All languages share, per order, one sorted array of n-gram codes (hashes
-that are exact: 16 bits a character class) with a row of log probabilities, and one of contexts with back-off weights;
+that are exact: 16 bits a letter) with a row of log probabilities, and one of contexts with back-off weights;
 a text is scored by binary searches over whole Arrow batches, and only the few unseen n-grams back off. The language
 of lowest cross-entropy per character is chosen, unless it is above what held-out texts of that language and length
 show: then the text is ``und``. Models are fitted on the driver from a bounded sample of labelled rows
@@ -26,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small, stage, table, text_key
+from .common import in_arrow, small, stage, table, text_key
 from .words import offsets, pieces, raw, strings
 
 ORDER = 4
+#: Symbols are 16 bits, so that an n-gram of ORDER of them is one exact 64-bit code.
+CLASSES = 1 << 16
 SAMPLE_DOCS = 400
 MIN_CHARS = 12
 #: Samples of at most so many rows find their texts by broadcast; larger ones in a shuffle, to the same effect.
@@ -42,15 +44,15 @@ UND = "und"
 
 
 def _classes() -> np.ndarray:
-    """Class of each code point below 0x10000: 0 for what is no letter, 1 to 223 for letters, by code where frequent."""
-    out = np.zeros(0x10000, dtype=np.uint8)
-    letters = [c for c in range(0x10000) if chr(c).isalpha()]
-    for i, c in enumerate(c for c in letters if c < 0x180 and chr(c).lower() == chr(c)):
-        out[c] = 1 + i
-    used = int(out.max())
-    for c in letters:
-        low = ord(chr(c).lower()[0])
-        out[c] = out[low] if low < 0x180 and out[low] else used + 1 + (low % (223 - used))
+    """Class of each code point: 0 for what is no letter, else a number of its own for each letter in lower case (there
+    are some 47,000 below 0x10000); those above share the numbers that are left."""
+    letter = np.array([chr(c).isalpha() for c in range(0x110000)])
+    code = np.flatnonzero(letter)
+    low = np.array([ord(chr(c).lower()[0]) for c in code])
+    own = np.unique(low[low < 0x10000])
+    left = CLASSES - 1 - len(own)
+    out = np.zeros(0x110000, dtype=np.uint16)
+    out[code] = np.where(low < 0x10000, 1 + np.minimum(np.searchsorted(own, low), len(own) - 1), 1 + len(own) + low % left)
     return out
 
 
@@ -62,24 +64,24 @@ def symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     buf, offs = raw(column)
     code = np.frombuffer(buf.tobytes().decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
     at = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])[offs]  # in characters
-    s = _CLASS[np.minimum(code, 0xFFFF)]
-    s[code > 0xFFFF] = 0
+    s = _CLASS[code]
     # ORDER - 1 zeros before each text and one after
     lead = ORDER - 1
     n = np.diff(at)
     begin = at[:-1] + np.arange(len(n)) * (lead + 1)
-    full = np.zeros(len(s) + len(n) * (lead + 1), dtype=np.uint8)
+    full = np.zeros(len(s) + len(n) * (lead + 1), dtype=np.uint16)
     full[np.arange(len(s)) + np.repeat(np.arange(len(n)) * (lead + 1) + lead, n)] = s
     keep = np.ones(len(full), dtype=bool)
     keep[1:] = (full[1:] != 0) | (full[:-1] != 0)
-    for k in range(lead + 1):  # the added zeros stay, those of the text beside them go
-        keep[begin + k if k < lead else begin + lead + n] = True
+    for k in range(lead):  # the added zeros stay, those of the text beside them go
+        keep[begin + k] = True
     firsts = np.minimum(begin + lead, len(full) - 1)
     inner = (n > 0) & (full[firsts] == 0)
     keep[firsts[inner]] = False
-    lasts = begin + lead + n - 1
-    tail = (n > 0) & (full[lasts] == 0)
-    keep[lasts[tail]] = False
+    # one zero is left of a run that ends a text and the one after it; without any letter, the latter
+    letters = np.concatenate([[0], np.cumsum(s != 0)])
+    none = letters[at[1:]] == letters[at[:-1]]
+    keep[begin[none] + lead + n[none]] = True
     total = np.concatenate([[0], np.cumsum(keep)])
     return full[keep], np.append(total[begin], total[-1])
 
@@ -88,7 +90,7 @@ def _codes(s: np.ndarray, n: int) -> np.ndarray:
     """The code of the n symbols that end at each place from n - 1 on."""
     out = s[: len(s) - n + 1].astype(np.uint64)
     for k in range(1, n):
-        out = (out << np.uint64(8)) | s[k : len(s) - n + 1 + k]
+        out = (out << np.uint64(16)) | s[k : len(s) - n + 1 + k]
     return out
 
 
@@ -110,17 +112,17 @@ class Model:
             code = _codes(s, ORDER)[inside[ORDER - 1 :]]
             by[ORDER] = np.unique(code, return_counts=True)
             for n in range(ORDER - 1, 0, -1):  # continuation counts: how many symbols stand before
-                by[n] = np.unique(by[n + 1][0] & np.uint64((1 << (8 * n)) - 1), return_counts=True)
+                by[n] = np.unique(by[n + 1][0] & np.uint64((1 << (16 * n)) - 1), return_counts=True)
             counts.append(by)
         self.keys = {n: np.unique(np.concatenate([c[n][0] for c in counts])) for n in range(1, ORDER + 1)}
-        self.contexts = {n: np.unique(self.keys[n] >> np.uint64(8)) for n in range(1, ORDER + 1)}
+        self.contexts = {n: np.unique(self.keys[n] >> np.uint64(16)) for n in range(1, ORDER + 1)}
         self.logp, self.weight = {}, {}
         L = len(langs)
         lower = np.full((0, L), 0.0)
         for n in range(1, ORDER + 1):
             p = np.zeros((len(self.keys[n]), L))
             w = np.ones((len(self.contexts[n]), L))
-            ctx = np.searchsorted(self.contexts[n], self.keys[n] >> np.uint64(8))
+            ctx = np.searchsorted(self.contexts[n], self.keys[n] >> np.uint64(16))
             for k, c in enumerate(counts):
                 keys, m = c[n]
                 d = _discount(m)
@@ -130,14 +132,14 @@ class Model:
                 seen = total > 0
                 w[seen, k] = d * types[seen] / total[seen]
                 p[own, k] = (m - d) / total[ctx[own]]
-            below = np.full((1, L), 1 / 256) if n == 1 else lower[np.searchsorted(self.keys[n - 1], self.keys[n] & np.uint64((1 << (8 * (n - 1))) - 1))]
+            below = np.full((1, L), 1 / CLASSES) if n == 1 else lower[np.searchsorted(self.keys[n - 1], self.keys[n] & np.uint64((1 << (16 * (n - 1))) - 1))]
             lower = p + w[ctx] * below
             self.logp[n], self.weight[n] = np.log2(lower).astype(np.float32), np.log2(w).astype(np.float32)
 
     def log2(self, codes: np.ndarray, n: int = ORDER) -> np.ndarray:
         """A row of log2 probabilities a code."""
         if n == 0:
-            return np.full((len(codes), len(self.langs)), -8.0, dtype=np.float32)
+            return np.full((len(codes), len(self.langs)), -np.log2(CLASSES), dtype=np.float32)
         keys = self.keys[n]
         j = np.searchsorted(keys, codes)
         j[j == len(keys)] = 0
@@ -146,9 +148,9 @@ class Model:
         if len(miss):
             c = codes[miss]
             ctx = self.contexts[n]
-            i = np.minimum(np.searchsorted(ctx, c >> np.uint64(8)), len(ctx) - 1)
-            w = np.where((ctx[i] == c >> np.uint64(8))[:, None], self.weight[n][i], np.float32(0))
-            out[miss] = w + self.log2(c & np.uint64((1 << (8 * (n - 1))) - 1), n - 1)
+            i = np.minimum(np.searchsorted(ctx, c >> np.uint64(16)), len(ctx) - 1)
+            w = np.where((ctx[i] == c >> np.uint64(16))[:, None], self.weight[n][i], np.float32(0))
+            out[miss] = w + self.log2(c & np.uint64((1 << (16 * (n - 1))) - 1), n - 1)
         return out
 
     def entropies(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -259,12 +261,12 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lang, low, n = [], [], []
-            for _, part in pieces(strings(b.column("text")), 4 << 20):
+            for _, part in pieces(strings(b.column("text"))):
                 for into, x in zip((lang, low, n), sent.value.choose(part)):
                     into.extend(x)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lang, pa.string()), pa.array(low, pa.float64()), pa.array(n, pa.int64())], names=["doc_id", "language", "cross_entropy", "letters"])
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, language string, cross_entropy double, letters bigint")
+    out = in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id bigint, language string, cross_entropy double, letters bigint")
     return out.withColumn("cross_entropy", F.round("cross_entropy", 4))
 
 
