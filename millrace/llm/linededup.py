@@ -63,6 +63,15 @@ class Cuckoo:
                 buckets *= 2
             self.slots = np.zeros((buckets, SLOTS), dtype=np.uint16)
 
+    @classmethod
+    def of(cls, h: np.ndarray) -> Cuckoo:
+        """A new filter of these keys, with room for a quarter more; larger than that if chance fills its buckets."""
+        for k in range(16):
+            made = cls(int(len(h) * 1.25) << k)
+            if made.insert(h):
+                return made
+        raise ValueError("keys of a cuckoo filter have to be hashes")
+
     def _places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         h = np.ascontiguousarray(h).view(np.uint64)
         f = (h >> np.uint64(48)).astype(np.uint16)
@@ -128,15 +137,17 @@ class Cuckoo:
         return self.slots.tobytes()
 
 
-def normal(line: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(line, r"[ \t\r\f\u000b]+", " ")))
+def normal(text: Column) -> Column:
+    """Each line of a text in its normal form. By whole texts, and the pattern finds only what is to be changed: one regular
+    expression a line costs several times as much."""
+    c = F.regexp_replace(text, r"[ \t\r\f\u000b]{2,}|[\t\r\f\u000b]", " ")
+    return F.lower(F.trim(F.replace(F.replace(c, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n"))))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, line_no, h1, h2) of the lines that count."""
-    d = docs.select("doc_id", text_key().alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    d = d.withColumn("line", normal(F.col("line"))).filter(F.length("line") >= MIN_CHARS)
-    return d.select("doc_id", "text_key", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(11), "line").alias("h2"))
+    d = docs.select("doc_id", text_key().alias("text_key"), F.posexplode(F.split(normal(F.col("text")), "\n")).alias("line_no", "line"))
+    return d.filter(F.length("line") >= MIN_CHARS).select("doc_id", "text_key", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(11), "line").alias("h2"))
 
 
 def _order() -> Column:
@@ -168,10 +179,13 @@ def _filters(keys: DataFrame, filters: DataFrame, version: int) -> DataFrame:
             return into.empty_table()
         old = fs.column("blob").to_pylist()
         h1, delta = ks.column("h1").to_numpy(), ks.column("delta").to_numpy()
-        now = Cuckoo(blob=old[0]) if old else Cuckoo(int(len(h1) * 1.25))
         fresh = h1[delta > 0]
-        now.delete(h1[delta < 0])
-        full = now.load + len(fresh) / now.slots.size > _LOAD or not now.insert(fresh)
+        if old:
+            now = Cuckoo(blob=old[0])
+            now.delete(h1[delta < 0])
+            full = now.load + len(fresh) / now.slots.size > _LOAD or not now.insert(fresh)
+        else:
+            now, full = Cuckoo.of(fresh), False
         return pa.table([ks.column("shard")[:1], pa.array([version], pa.int32()), pa.array([None if full else now.bytes()], pa.binary())], schema=into)
 
     into = pa.schema([("shard", pa.int32()), ("version", pa.int32()), ("blob", pa.binary())])
@@ -251,7 +265,7 @@ class LineStore:
         lines = lines_of(docs).withColumn("batch", F.lit(self.version))
         # rows that repeat one document hold one posting
         posted = self._append("postings", lines.distinct().withColumn("sign", F.lit(1)))
-        per = posted.groupBy("h1", "h2").agg(F.count("*").alias("delta"), F.min(_order()).alias("first"))
+        per = stage(posted.groupBy("h1", "h2").agg(F.count("*").alias("delta"), F.min(_order()).alias("first")), "per")
         if self.shards is None:
             self.shards = max(8, -(-posted.count() // KEYS_A_SHARD))
         keys = self._append("refs", per.select(_shard(self.shards).alias("shard"), "h1", "h2", "delta"))
@@ -337,7 +351,8 @@ def dedup_lines(docs: DataFrame, store: LineStore | None = None) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    toxic = table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id").distinct()
+    toxic = stage(table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id").distinct(), "toxic")
+    toxic = F.broadcast(toxic) if small(toxic, BROADCAST_ROWS) else toxic
     withdrawn = docs.join(toxic, "doc_id", "left_semi")
     store = LineStore(spark)
     for part in batches(docs):
