@@ -17,8 +17,73 @@ from ..functions import text as T
 from . import dedup, lang
 
 
-def _phrases(s: str) -> list[str]:
-    return [p.strip() for p in s.split(";")]
+#: What begins an article's text, is taken out, or ends it, by source, in alphabetical order. These are the words of the sources'
+#: own pages; results depend on them, so they can only be what they are. Order has no effect.
+PHRASES: dict[str, dict[str, list[str]]] = {
+    "aafp": {
+        "start": ["clinical preventive service recommendation", "key recommendations", "recommendation"],
+        "remove": ["**[", "---", "===", "[", "http"],
+        "stop": ["*keyboard\\_tab*", "*these guidelines are provided only", "*these recommendations are provided only", "more about choosing wisely", "more about practice guidelines", "references", "related content", "sources"],
+    },
+    "cco": {
+        "start": ["Guideline objectives", "Intended purpose", "Introduction", "Questions"],
+        "remove": ["An assessment conducted in", "Care has been taken in the preparation", "These guidelines recommendations have been endorsed", "This is a quick reference guide", "This report is copyrighted by"],
+    },
+    "cdc_diseases": {
+        "start": ["###"],
+        "remove": [" | CDC", "insurance"],
+        "stop": ["After Travel", "More Information"],
+    },
+    "cma": {
+        "start": ["### 1. what", "### abstract", "### key information", "### what", "introduction", "key information", "overview", "preamble"],
+        "remove": ["![", "* [", "+ [", "---", "===", "[", "figure", "footnote", "refer to", "table", "|"],
+        "stop": ["### authors’ statement", "### references", "### selected references", "acknowledgements", "acknowledgments", "additional resources", "additional tables", "appendix", "list of abbreviations", "references", "report a problem", "selected references"],
+    },
+    "cma_pdfs": {
+        "stop": ["acknowledg", "conflict of interest", "disclaimer", "funding"],
+    },
+    "cps": {
+        "start": ["### Abstract"],
+        "remove": ["Figure", "Key words:", "Keywords:", "The Canadian Paediatric Society gives permission", "|"],
+        "stop": ["Acknowledgements", "Current:  About CPS position", "Selected resources"],
+    },
+    "drugs": {
+        "remove": ["###", "* [", "---", "===", "Always consult your healthcare provider", "Frequently asked", "Further information", "More about", "[", "[Medical"],
+    },
+    "gc": {
+        "start": ["Document Objectives"],
+        "remove": ["(c)", "Publication Date", "http", "www"],
+        "stop": ["Disclaimer", "Recommendation Grading", "Source Citation"],
+    },
+    "icrc": {
+        "stop": ["acknowledgements", "acknowledgments", "contacts"],
+    },
+    "idsa": {
+        "start": ["abstract", "introduction"],
+        "remove": ["---", "===", "[!", "appropriate use criteria", "published"],
+        "stop": ["acknowledgments", "disclaimer", "for more information", "notes", "references", "supplementary", "to access a more user", "to view the full version"],
+    },
+    "magic": {
+        "start": ["abstract", "introduction"],
+        "remove": ["![", "---", "< less", "===", "about this guideline", "loading data...", "more >", "please visit the", "updates", "view section text", "write general section text"],
+        "sections": ["acknowledgements", "acknowledgments", "authorship", "contributors", "date of publication", "declarations of interest", "disclaimer", "disclosure", "external reviewers", "funding", "isbn", "members", "previous versions in magicapp", "publication approval", "publisher", "references"],
+    },
+    "nice": {
+        "drop": ["advice", "committee", "implementation", "team", "update"],
+    },
+    "spor": {
+        "stop": ["Conflict of interest"],
+    },
+    "who": {
+        "start": ["Introduction "],
+        "remove": ["Under the terms of this licence", "|"],
+        "stop": ["Acknowl"],
+    },
+    "wikidoc": {
+        "remove": ["Associate Editor", "Click here", "Editor", "For patient information click here", "How to edit trial information", "Media:", "Template:", "To go back to the main page"],
+        "stop": ["external links"],
+    },
+}
 
 
 @dataclass(frozen=True)
@@ -61,9 +126,9 @@ def aafp(a: Article) -> dict[str, Column]:
     title = F.replace(F.replace(T.strip(a.title), F.lit(" | AAFP"), F.lit("")), F.lit(" - Choosing Wisely"), F.lit(""))
     body = T.truncate(
         a.text,
-        _phrases("recommendation; key recommendations; clinical preventive service recommendation"),
-        _phrases("http; [; **[; ===; ---"),
-        _phrases("sources; related content; references; more about practice guidelines; more about choosing wisely; *these guidelines are provided only; *these recommendations are provided only; *keyboard\\_tab*"),
+        PHRASES["aafp"]["start"],
+        PHRASES["aafp"]["remove"],
+        PHRASES["aafp"]["stop"],
     )
     keep = lambda x, low: T.let(_bare(x), lambda b: ~T.single_letter_words(b) & ~low.startswith(b) & ~T.contains_any(b, ("|", "http")))
     rows = T.let(F.lower(title), lambda low: _lines(body, lambda x: keep(x, low)))
@@ -73,8 +138,8 @@ def aafp(a: Article) -> dict[str, Column]:
 def cco(a: Article) -> dict[str, Column]:
     body = T.truncate(
         a.text,
-        _phrases("Intended purpose; Introduction; Guideline objectives; Questions"),
-        _phrases("This is a quick reference guide; Care has been taken in the preparation; An assessment conducted in; These guidelines recommendations have been endorsed; This report is copyrighted by"),
+        PHRASES["cco"]["start"],
+        PHRASES["cco"]["remove"],
     )
     bullet = lambda x: T.strip(x).startswith(T.BULLET)
     keep = lambda x: bullet(x) | ((_n_words(x) >= 3) & x.rlike("[a-zA-Z]"))
@@ -96,9 +161,8 @@ def cdc(a: Article) -> dict[str, Column]:
 
 
 def cdc_diseases(a: Article) -> dict[str, Column]:
-    drop = _phrases("| CDC; insurance")
-    body = T.truncate(a.text, ["###"], ["insurance", " | CDC"], ["After Travel", "More Information"])
-    keep = lambda x: (_n_words(x) >= 3) & ~T.contains_any(x, [drop[1], " " + drop[0]])
+    body = T.truncate(a.text, PHRASES["cdc_diseases"]["start"], PHRASES["cdc_diseases"]["remove"], PHRASES["cdc_diseases"]["stop"])
+    keep = lambda x: (_n_words(x) >= 3) & ~T.contains_any(x, PHRASES["cdc_diseases"]["remove"])
 
     def to(x: Column) -> Column:
         for old, new in (("+ ", "- "), ("**", ""), ("*", "- ")):
@@ -113,30 +177,30 @@ def cma(a: Article) -> dict[str, Column]:
     title = _first_line(a.text)
     body = T.truncate(
         a.text,
-        _phrases("introduction; overview; preamble; key information; ### what; ### abstract; ### 1. what; ### key information"),
-        _phrases("|; [; ![; * [; + [; ===; ---; figure; footnote; refer to; table"),
-        _phrases("additional resources; additional tables; list of abbreviations; report a problem; acknowledgements; acknowledgments; appendix; references; selected references; ### references; ### selected references; ### authors’ statement"),
+        PHRASES["cma"]["start"],
+        PHRASES["cma"]["remove"],
+        PHRASES["cma"]["stop"],
     )
     return {"title": title, "text": T.clean(T.let(title, lambda t: F.concat(t, F.lit("\n\n"), _lines(body, lambda x: ~x.contains("|") & ~x.contains(t)))))}
 
 
 def cma_pdfs(a: Article) -> dict[str, Column]:
-    body = T.truncate(T.strip(a.col("text", "content")), stoppers=_phrases("funding; conflict of interest; disclaimer; acknowledg"))
+    body = T.truncate(T.strip(a.col("text", "content")), stoppers=PHRASES["cma_pdfs"]["stop"])
     core = lambda x: F.lower(T.strip(T.sub(x, r"[#.]")))
     keep = lambda x: T.let(core(x), lambda k: ~k.isin("", T.BULLET) & ~T.is_digits(k))
     return {"text": T.clean(_lines(body, keep, lambda x: T.sub(x, r"(?U)^\d+\.\s", "- "))), "doi": a.col("doi")}
 
 
 def cps(a: Article) -> dict[str, Column]:
-    drop = _phrases("Key words:; Keywords:; Figure; |; The Canadian Paediatric Society gives permission")
-    body = T.truncate(a.text, ["### Abstract"], drop, _phrases("Current:  About CPS position; Selected resources; Acknowledgements"))
+    drop = PHRASES["cps"]["remove"]
+    body = T.truncate(a.text, PHRASES["cps"]["start"], drop, PHRASES["cps"]["stop"])
     out = T.clean(_lines(body, lambda x: (_n_words(x) >= 3) & ~T.contains_any(x, drop), T.strip))
     return {"text": T.let(out, lambda x: F.when(F.size(T.lines(x)) >= 3, x))}
 
 
 def drugs(a: Article) -> dict[str, Column]:
     body = F.array_join(F.filter(T.lines(a.text), lambda x: ~x.contains("|")), "\n")
-    body = T.truncate(body, removers=_phrases("[; * [; ###; ---; ===; [Medical; Further information; More about; Frequently asked; Always consult your healthcare provider"))
+    body = T.truncate(body, removers=PHRASES["drugs"]["remove"])
     body = T.strip(T.sub(F.translate(F.replace(body, F.lit("*"), F.lit("-")), "[]", ""), r"\([^)]+\)"))
     return {"title": T.strip(F.split(a.title, " - ")[0]), "text": T.clean(F.replace(body, F.lit("--"), F.lit(""))), "url": a.col("url", "link")}
 
@@ -145,7 +209,7 @@ def gc(a: Article) -> dict[str, Column]:
     named = T.strip(a.title) == "Title"
     quotes = lambda c: F.replace(F.replace(c, F.lit('["'), F.lit("")), F.lit('"]'), F.lit(""))
     raw = F.when(named, F.substring(a.text, 7, 2**31 - 1)).otherwise(a.text)
-    body = T.truncate(quotes(raw), ["Document Objectives"], _phrases("http; www; (c); Publication Date"), _phrases("Source Citation; Recommendation Grading; Disclaimer"))
+    body = T.truncate(quotes(raw), PHRASES["gc"]["start"], PHRASES["gc"]["remove"], PHRASES["gc"]["stop"])
     core = lambda x: T.sub(x, "[^a-zA-Z0-9]")
     head = lambda x: T.let(core(x), lambda k: T.is_upper(k) & (F.length(k) > 2))
     rows = F.filter(F.transform(T.lines(body), T.strip), lambda x: x != "(c)")
@@ -154,7 +218,7 @@ def gc(a: Article) -> dict[str, Column]:
 
 
 def icrc(a: Article) -> dict[str, Column]:
-    body = T.truncate(a.col("text", "content"), stoppers=_phrases("contacts; acknowledgments; acknowledgements"))
+    body = T.truncate(a.col("text", "content"), stoppers=PHRASES["icrc"]["stop"])
     to = lambda x: F.when(x.rlike(r"(?U)^\d+[a-zA-Z]+"), F.concat(F.lit("- "), T.strip(F.substring(x, 2, 2**31 - 1)))).otherwise(x)
     return {"text": T.clean(_lines(body, lambda x: x.rlike("[a-zA-Z]"), to))}
 
@@ -163,9 +227,9 @@ def idsa(a: Article) -> dict[str, Column]:
     title = _first_line(a.text)
     body = T.truncate(
         a.text,
-        _phrases("abstract; introduction"),
-        _phrases("appropriate use criteria; [!; published; ===; ---"),
-        _phrases("to access a more user; notes; acknowledgments; supplementary; disclaimer; to view the full version; for more information; references"),
+        PHRASES["idsa"]["start"],
+        PHRASES["idsa"]["remove"],
+        PHRASES["idsa"]["stop"],
     )
     numbered = lambda b: T.is_digits(F.split(b, r"\.")[0])
     # of a number without a full stop all but nothing is cut, as for any other
@@ -203,11 +267,11 @@ def _magic_headers(s):  # noqa: ANN001
 def magic(a: Article) -> dict[str, Column]:
     chunks = F.filter(F.split(a.text, "Loading Data\\.\\.\\.\n"), lambda x: ~T.contains_any(x, ("Write header here", "Write remark here")))
     body = _magic_headers(F.array_join(F.transform(chunks, lambda x: F.concat(x, F.lit("\n\n"))), ""))
-    body = T.truncate(body, ["introduction", "abstract"], _phrases("about this guideline; view section text; loading data...; write general section text; more >; < less; please visit the; ![; ---; ===; updates"))
+    body = T.truncate(body, PHRASES["magic"]["start"], PHRASES["magic"]["remove"])
     body = T.sub(_lines(body, lambda x: (_bare(x) != "") & ~x.contains("|"), T.strip), "\n+", "\n")
     for old, new in (("\n**", "\n## "), ("*", ""), ("\n(", "("), ("\n)", ")"), ("\n;", ";")):
         body = F.replace(body, F.lit(old), F.lit(new))
-    drop = _phrases("references; previous versions in magicapp; contributors; external reviewers; declarations of interest; isbn; publication approval; authorship; date of publication; publisher; acknowledgments; acknowledgements; funding; disclosure; disclaimer; members")
+    drop = PHRASES["magic"]["sections"]
     head = lambda x: T.strip(T.sub(F.lower(_first_line(x)), "[^a-zA-Z ]"))
     sections = F.filter(F.split(T.strip(body), "\n\n"), lambda x: ~T.starts_with_any(head(x), drop))
     body = F.array_join(F.transform(sections, lambda x: F.concat(x, F.lit("\n\n"))), "")
@@ -224,7 +288,7 @@ def mayo(a: Article) -> dict[str, Column]:
 
 def nice(a: Article) -> dict[str, Column]:
     low = lambda s: F.lower(s["name"])
-    kept = F.filter(F.col("content"), lambda s: low(s).contains("discussion") | ~T.contains_any(low(s), _phrases("advice; committee; implementation; team; update")))
+    kept = F.filter(F.col("content"), lambda s: low(s).contains("discussion") | ~T.contains_any(low(s), PHRASES["nice"]["drop"]))
     name, overview = a.col("name"), a.col("overview")
     head = lambda c: F.when(F.length(c) > 0, F.concat(c, F.lit("\n\n"))).otherwise("")
     return {"title": name, "url": a.col("url"), "overview": overview, "text": F.when(F.size(kept) > 0, F.concat(head(name), head(overview), T.clean(T.concatenate_sections(kept))))}
@@ -235,25 +299,24 @@ def rch(a: Article) -> dict[str, Column]:
 
 
 def spor(a: Article) -> dict[str, Column]:
-    body = F.replace(F.replace(T.truncate(a.text, stoppers=["Conflict of interest"]), F.lit("|"), F.lit("")), F.lit("---"), F.lit("\n"))
+    body = F.replace(F.replace(T.truncate(a.text, stoppers=PHRASES["spor"]["stop"]), F.lit("|"), F.lit("")), F.lit("---"), F.lit("\n"))
     return {"text": T.clean(_lines(body, lambda x: _n_words(x) >= 3, T.strip))}
 
 
 def who(a: Article) -> dict[str, Column]:
-    body = T.truncate(a.text, ["Introduction "], ["Under the terms of this licence", "|"], ["Acknowl"])
+    body = T.truncate(a.text, PHRASES["who"]["start"], PHRASES["who"]["remove"], PHRASES["who"]["stop"])
     rows = _lines(body, lambda x: _n_words(x) >= 3, lambda x: T.strip(F.replace(x, F.lit(T.BULLET + " "), F.lit("- "))))
-    return {"text": T.clean(F.translate(rows, "", ""))}
+    return {"text": T.clean(F.translate(rows, "\ue031", ""))}
 
 
 def wikidoc(a: Article) -> dict[str, Column]:
-    body = T.truncate(a.col("text", "content"), removers=_phrases("To go back to the main page; Template:; How to edit trial information; For patient information click here; Click here; Media:; Associate Editor; Editor"), stoppers=["external links"])
+    body = T.truncate(a.col("text", "content"), removers=PHRASES["wikidoc"]["remove"], stoppers=PHRASES["wikidoc"]["stop"])
 
-    def fold(acc: Column, x: Column) -> Column:
-        notice, head = x.startswith("Any recommendations found on these pages"), x.startswith("#")
-        keep = head | (~notice & ~acc.skip & ~x.startswith("CLASS"))
-        return F.struct(F.when(keep, F.concat(acc.out, F.array(x))).otherwise(acc.out).alias("out"), (notice | (acc.skip & ~head)).alias("skip"))
-
-    rows = F.aggregate(T.lines(body), F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("skip")), fold)["out"]
+    notice = "Any recommendations found on these pages"
+    # from a notice to the next header nothing stays; a section is a header with what follows, or what stands before the first
+    sections = F.split(body, "\n(?=#)")
+    kept = lambda s: F.when(s.startswith(notice), F.array().cast("array<string>")).otherwise(F.filter(T.lines(F.substring_index(s, "\n" + notice, 1)), lambda x: ~x.startswith("CLASS")))
+    rows = F.flatten(F.transform(sections, kept))
     out = T.clean(T.sub(T.unlines(rows), "(?d)Redirect to.*"))
     urls = F.col("urls") if "urls" in a.df.columns else F.array(a.col("url"))
     return {"title": a.title, "url": F.get(urls, F.lit(0)), "text": T.let(out, lambda x: F.when(enough(x, 3), x))}
@@ -267,13 +330,14 @@ RECORD = ("source", "title", "clean_text", "raw_text", "url", "overview")
 def process(df: DataFrame, source: str) -> DataFrame:
     """``df`` and the canonical record: source is the name up to its first underscore, raw_text what came in."""
     made = PROCESSORS[ALIASES.get(source, source)](Article(df))
-    # the text comes out of a generator, not through a filter, which would be pushed below and have it computed twice
+    # the text comes out of an outer generator: a filter, or the one that is inferred for an inner one, would be pushed below and
+    # have it computed twice
     raw = next((F.col(c) for c in ("content", "text") if c in df.columns), F.lit(None))
     kind = df.schema[next(c for c in ("content", "text") if c in df.columns)].dataType.typeName()
     none = F.lit(None).cast("string")
-    out = {"source": F.lit(source.split("_")[0]), "title": made.get("title", none), "clean_text": F.array_compact(F.array(made["text"])), "raw_text": raw if kind == "string" else F.to_json(raw), "url": made.get("url", none), "overview": made.get("overview", none)}
+    out = {"source": F.lit(source.split("_")[0]), "title": made.get("title", none), "clean_text": F.array(made["text"]), "raw_text": raw if kind == "string" else F.to_json(raw), "url": made.get("url", none), "overview": made.get("overview", none)}
     made = df.select(*[F.col(c) for c in df.columns if c not in RECORD], *[c.alias(n) for n, c in out.items()])
-    return made.select(*[F.explode(c).alias(c) if c == "clean_text" else F.col(c) for c in made.columns])
+    return made.select(*[F.explode_outer(c).alias(c) if c == "clean_text" else F.col(c) for c in made.columns]).filter("clean_text is not null")
 
 
 def build(df: DataFrame, source: str, order: str, english_only: bool = True, min_chars: int = 10) -> DataFrame:

@@ -13,7 +13,7 @@ from . import dedup
 def with_metadata(left: DataFrame, right: DataFrame, key: str, order: str) -> DataFrame:
     """Inner join; of right rows with one key the last by ``order`` counts, right columns replace left ones, rows
     without a key are dropped."""
-    last = dedup.first_by(right.filter(F.col(key).isNotNull()), F.col(key), F.col(order).desc()).drop(order)
+    last = dedup.first_by(right.filter(F.col(key).isNotNull()), F.col(key), order, last=True).drop(order)
     return left.select(*[c for c in left.columns if c == key or c not in last.columns]).join(last, key)
 
 
@@ -80,7 +80,7 @@ def replace_source(old: DataFrame, new: DataFrame, source: str = "source") -> Da
 
 def update_by_key(df: DataFrame, answers: DataFrame, key: str, value: str, order: str) -> DataFrame:
     """``value`` for all rows of a key, from the last answer."""
-    last = dedup.first_by(answers, F.col(key), F.col(order).desc()).select(key, value)
+    last = dedup.first_by(answers, F.col(key), order, last=True).select(key, value)
     return df.drop(value).join(last, key, "left")
 
 

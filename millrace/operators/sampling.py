@@ -33,17 +33,23 @@ def ranked(df: DataFrame, key: str, salt: str = SALT, buckets: int = 1024, by: S
     return r.join(before if by else F.broadcast(before), [*by, "b"]).select(*by, key, (F.col("r") + F.col("before")).alias("rank"))
 
 
-def numbered(df: DataFrame, key: str, *ties: str, ranges: int = 64) -> DataFrame:
-    """``df`` with ``rank``: 1-based places of all rows in the order of a number column (nulls last, equal keys by ``ties``),
-    without bringing them to one partition: keys are cut to ranges at approximate quantiles, ranked within, and shifted by
-    what lies before. Where the cuts fall doesn't change a rank."""
+def numbered(df: DataFrame, key: str, *ties: str, by: Sequence[str] = (), ranges: int = 128) -> DataFrame:
+    """``df`` with ``rank``: 1-based places of all rows (of each group) in the order of a number column (nulls last, equal keys by
+    ``ties``), without bringing them, or a large group, to one partition: keys are cut to ranges at approximate quantiles,
+    ranked within, and shifted by what lies before. Where the cuts fall doesn't change a rank."""
     cuts = df.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 10_000).alias("__mr_cuts"))
     below = F.size(F.filter("__mr_cuts", lambda c: c < F.col(key)))
     u = df.crossJoin(F.broadcast(cuts)).withColumn("__mr_b", F.when(F.col(key).isNull(), ranges).otherwise(below)).drop("__mr_cuts")
-    n = u.groupBy("__mr_b").agg(F.count("*").alias("n"))
-    before = n.select("__mr_b", F.coalesce(F.sum("n").over(Window.partitionBy().orderBy("__mr_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__mr_before"))
-    r = u.withColumn("__mr_r", F.row_number().over(Window.partitionBy("__mr_b").orderBy(F.col(key).asc_nulls_last(), *ties)))
-    return r.join(F.broadcast(before), "__mr_b").withColumn("rank", F.col("__mr_r") + F.col("__mr_before")).drop("__mr_b", "__mr_r", "__mr_before")
+    n = df.select(*by, key).crossJoin(F.broadcast(cuts)).groupBy(*by, F.when(F.col(key).isNull(), ranges).otherwise(below).alias("__mr_b")).agg(F.count("*").alias("n"))
+    before = n.select(*by, "__mr_b", F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy("__mr_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__mr_before"))
+    r = u.withColumn("__mr_r", F.row_number().over(Window.partitionBy(*by, "__mr_b").orderBy(F.col(key).asc_nulls_last(), *ties)))
+    # without groups ``before`` has as many rows as ranges; with groups it is laid out as the ranks are
+    before = before.select(*[F.col(c).alias(f"__mr_{c}") for c in by], F.col("__mr_b").alias("__mr_of"), "__mr_before")
+    on = F.col("__mr_b") == F.col("__mr_of")
+    for c in by:
+        on = on & r[c].eqNullSafe(before[f"__mr_{c}"])
+    out = r.join(before if by else F.broadcast(before), on)
+    return out.withColumn("rank", F.col("__mr_r") + F.col("__mr_before")).select(*df.columns, "rank")
 
 
 def exact_split(df: DataFrame, key: str, train: float = 0.9, validation: float = 0.5, salt: str = SALT) -> DataFrame:

@@ -214,7 +214,7 @@ def abstracts(df: DataFrame, order: str, key: str = "corpusid", english: Column
     """Cleaned abstracts: the first of each id counts, even where it is then left out for its text or language."""
     from . import dedup
 
-    d = dedup.first_by_id(df, key, order).withColumnRenamed("abstract", "text").filter(F.length("text") > 0)
+    d = dedup.first_by_id(df, key, order, wide=True).withColumnRenamed("abstract", "text").filter(F.length("text") > 0)
     d = d.filter(english) if english is not None else d
     d = with_title(d, "\n").withColumn("text", T.remove_references(T.remove_urls(F.col("text"))))
     return d.drop("openaccessinfo") if "openaccessinfo" in d.columns else d

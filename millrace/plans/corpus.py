@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import dedup, joins, sampling, scoring, stats
 from ..sources import io
+from ..sources.staging import shared_dir, stage
 from ..streaming import streams
 from . import sql as S
 from .registry import query, table
@@ -26,7 +25,8 @@ f AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i
 SELECT sha1(source || i) AS id, source, t AS clean_text FROM f""")
 def guideline_corpus(spark, d):
     """The flagship: clean, language, first of each fingerprint, length, ids."""
-    x = _docs(spark, d).filter("lang = 'en'").select("doc_id", "source", T.clean(noisy(F.col("text"))).alias("clean_text"))
+    # the cleaned texts are written once, and only keys are compared
+    x = stage(_docs(spark, d).filter("lang = 'en'").select("doc_id", "source", T.clean(noisy(F.col("text"))).alias("clean_text")), "cleaned")
     x = dedup.first_by_prefix(x, "clean_text", "doc_id", ["source"]).filter(F.length("clean_text") > 10)
     return dedup.surrogate_ids(x, "source", "doc_id").select("id", "source", "clean_text")
 
@@ -339,7 +339,7 @@ def _streamed(spark: SparkSession, d: str, name: str, do) -> DataFrame:
     import uuid
 
     src = table(spark, d, name)
-    base = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-")).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     # a single file is streamed from its folder by its name, a folder of files as it is
     r = spark.readStream.schema(src.schema).format("parquet")
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/{name}.parquet")

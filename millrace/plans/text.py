@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import guidelines, html, lang, sampling, standoff
 from ..sources import io
+from . import processors_sql
 from . import sql as S
 from .registry import query, table
 
@@ -165,11 +166,10 @@ def _processor(name: str):
     return run
 
 
-for _n in guidelines.PROCESSORS:
-    if _n not in ("rch", "spor"):
-        query()(_processor(_n))
-
 _RAW = f"'Introduction to this' || chr(10) || '### Abstract of it' || chr(10) || 'Overview of the guideline for all' || chr(10) || {_X}"
+for _n in processors_sql.NAMES:
+    query(processors_sql.processor_sql(_n, _RAW))(_processor(_n))
+
 query(f"SELECT doc_id, 'rch' AS source, 'Title ' || doc_id AS title, {_RAW} AS clean_text, 'http://x/' || doc_id AS url FROM documents")(_processor("rch"))
 _STOP = _any("x", ("conflict of interest",))
 query(f"""
