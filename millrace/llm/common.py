@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,44 +9,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.staging import shared_dir, stage  # noqa: F401 - the operators take them from here
+
 #: Bytes of an Arrow batch that goes to a Python worker, so that its memory follows neither the number of rows in a batch nor
 #: their length (one row that is longer goes alone). A session that has set its own bound keeps it.
 BATCH_BYTES = 8 << 20
 _ARROW_BYTES, _ARROW_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
-_scratch: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """This session's folder below spark.checkpoint.dir, which all executors share; removed when the driver ends. Only a
-    local session, whose executors are this process, may do without that setting."""
-    sc = spark.sparkContext
-    if sc.applicationId not in _scratch:
-        base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-        if not base:
-            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            base = tempfile.mkdtemp(prefix="millrace-")
-        path = f"{base.rstrip('/')}/millrace-{uuid.uuid4().hex}"
-        hadoop = sc._jvm.org.apache.hadoop.fs.Path(path)
-        fs = hadoop.getFileSystem(sc._jsc.hadoopConfiguration())
-        fs.mkdirs(hadoop)
-        fs.deleteOnExit(hadoop)
-        _scratch[sc.applicationId] = path
-    return _scratch[sc.applicationId]
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: a lineage cut that outlives lost executors, and
-    gives later joins true sizes."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
     """``df.mapInArrow`` in batches of bounded bytes; what a worker's pool has kept is given back after its last batch."""
     spark = df.sparkSession
