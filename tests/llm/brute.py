@@ -71,7 +71,7 @@ def contamination(rows, items, n, min_words):
     for i, t in items:
         w = words(t)
         k = min(n, len(w))
-        if i is not None and t is not None and k >= min_words:
+        if t is not None and k >= min_words:
             for a in range(len(w) - k + 1):
                 bench[tuple(w[a : a + k])].add(i)
     sizes = {len(g) for g in bench}
