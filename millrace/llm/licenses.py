@@ -4,15 +4,17 @@ Every rolling 3-gram of words of every document is hashed and joined to the posi
 license templates (a broadcast join: the templates are a fixed table of this module); each match votes for the offset
 diagonal document position - template position of its license. Votes are aggregated by diagonal, neighbouring
 diagonals that continue each other (a few words put in or left out) are merged to spans, and spans are verified:
-each vote's words must be the template's words, not only their hash, and enough of the template must be covered.
-Of overlapping spans the best stays.
+each vote's words must be the template's words, not only their hash, enough of the template must be covered, and so must all
+words that tell a short template from the like of it: version numbers and names (``required``). Of overlapping spans the
+best stays.
 
 The n-gram join runs in one generated-code stage over the scan; only matches are shuffled, by document.
 
 Defined results
 * null and empty texts and texts of fewer words than an n-gram match nothing; null doc_ids are carried through;
 * a license that stands twice gives two spans; rows equal in doc_id and text are reported once;
-* of overlapping spans that of higher coverage stays, then the longer, then the license that sorts first;
+* of overlapping spans that of higher coverage stays, then that with fewer words put in or left out (diagonals), then the
+  longer, then the license that sorts first;
 * a license has several templates, named license:kind (text, header, notice and so on); one without a kind has the bare name.
 """
 
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, text_key
+from .common import in_arrow, table, text_key
 from .words import WORD, WORD_RE2, Words, char_starts, lists, pieces, signed, strings
 
 K = 3
@@ -98,10 +100,23 @@ for _n in ("apache-2.0", "gpl-2.0", "gpl-3.0", "lgpl-2.1", "lgpl-3.0", "agpl-3.0
     TEMPLATES[f"{_n}:spdx"] = f"SPDX-License-Identifier: {_n}"
 
 
+#: Of templates of at most so many words all telling words have to be there; longer ones are told apart by their length.
+SHORT = 60
+TELLING = frozenset("lesser library affero sharealike noncommercial noderivatives sa nc nd mit apache mozilla cc0 bsd isc".split())
+
+
 def template_words(text: str) -> list[str]:
     return re.findall(WORD, text.lower())
 
 
+def required(words: list[str]) -> list[int]:
+    """Places of the words that tell a template from others: names, and version numbers but for a zero behind one."""
+    if len(words) > SHORT:
+        return []
+    number = [any(c.isdigit() for c in w) and not (w == "0" and i > 0 and words[i - 1][-1:].isdigit()) for i, w in enumerate(words)]
+    return [i for i, w in enumerate(words) if number[i] or w in TELLING]
+
+
 def template_rows(templates: dict[str, str] = TEMPLATES, k: int = K) -> list[tuple[str, int, int, str, str, int]]:
     """(license, words, position, gram, its last word, hash)."""
     named = [(name, template_words(text)) for name, text in sorted(templates.items())]
@@ -118,7 +133,7 @@ def _grams(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for off, part in pieces(strings(b.column("text")), 4 << 20):
+            for off, part in pieces(strings(b.column("text"))):
                 w = Words(part)
                 low = pa.LargeStringArray.from_buffers(len(part), pa.py_buffer(w.offs.astype(np.int64)), pa.py_buffer(w.buf)).cast(pa.string())
                 chars = char_starts(w.buf, np.concatenate([w.start, w.offs[:-1]]))
@@ -130,34 +145,36 @@ def _grams(docs: DataFrame, k: int) -> DataFrame:
                     [b.column("doc_id").slice(off, len(part)), b.column("text_key").slice(off, len(part)), low, lists(at, w.first, pa.int32()), lists(signed(h), first, pa.int64())], names=["doc_id", "text_key", "low", "at", "h"]
                 )
 
-    return d.mapInArrow(run, "doc_id bigint, text_key bigint, low string, at array<int>, h array<bigint>")
+    return in_arrow(d, run, "doc_id bigint, text_key bigint, low string, at array<int>, h array<bigint>")
 
 
 def votes(docs: DataFrame, templates: dict[str, str] = TEMPLATES, k: int = K) -> DataFrame:
-    """(doc_id, text_key, license, template_words, pos, tpos): verified n-gram matches."""
+    """(doc_id, text_key, license, template_words, required, pos, tpos): verified n-gram matches."""
     spark = docs.sparkSession
-    t = spark.createDataFrame(template_rows(templates, k), "license string, template_words int, tpos int, gram string, tail string, th bigint")
+    need = {name: required(template_words(text)) for name, text in templates.items()}
+    t = spark.createDataFrame([(*r, need[r[0]]) for r in template_rows(templates, k)], "license string, template_words int, tpos int, gram string, tail string, th bigint, required array<int>")
     g = _grams(docs, k).select("doc_id", "text_key", "low", "at", F.posexplode("h").alias("pos", "h"))
     m = g.join(F.broadcast(t), F.col("h") == F.col("th"))
     start, last = F.col("at")[F.col("pos")], F.col("at")[F.col("pos") + k - 1]
     own = F.col("low").substr(start + 1, last - start + F.length("tail"))
     m = m.filter(F.regexp_replace(own, WORD.replace("[^", "[", 1), " ") == F.col("gram"))
-    return m.select("doc_id", "text_key", "license", "template_words", "pos", "tpos")
+    return m.select("doc_id", "text_key", "license", "template_words", "required", "pos", "tpos")
 
 
 def license_spans(docs: DataFrame, templates: dict[str, str] = TEMPLATES, k: int = K, max_shift: int = MAX_SHIFT, min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """(doc_id, license, start_word, end_word, votes, diagonals, covered, template_words, coverage)."""
-    me = ["doc_id", "text_key", "license", "template_words"]
+    me = ["doc_id", "text_key", "license", "template_words", "required"]
     v = votes(docs, templates, k).withColumn("diagonal", F.col("pos") - F.col("tpos"))
     d = v.groupBy(*me, "diagonal").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.min("tpos").alias("tlo"), F.max("tpos").alias("thi"), F.collect_set("tpos").alias("ts"))
     w = Window.partitionBy(*me).orderBy("lo", "diagonal")
     goes_on = (F.abs(F.col("diagonal") - F.lag("diagonal").over(w)) <= max_shift) & (F.col("tlo") > F.lag("thi").over(w))
     d = d.withColumn("new", F.when(goes_on, 0).otherwise(1)).withColumn("span", F.sum("new").over(w))
-    covered = F.size(F.array_distinct(F.flatten(F.transform(F.flatten(F.collect_list("ts")), lambda x: F.sequence(x, x + (k - 1))))))
-    s = d.groupBy(*me, "span").agg(F.min("lo").alias("start_word"), (F.max("hi") + k).alias("end_word"), F.sum(F.size("ts")).alias("votes"), F.count("*").alias("diagonals"), covered.alias("covered"))
+    places = F.array_distinct(F.flatten(F.transform(F.flatten(F.collect_list("ts")), lambda x: F.sequence(x, x + (k - 1)))))
+    s = d.groupBy(*me, "span").agg(F.min("lo").alias("start_word"), (F.max("hi") + k).alias("end_word"), F.sum(F.size("ts")).alias("votes"), F.count("*").alias("diagonals"), places.alias("places"))
+    s = s.filter(F.size(F.array_except("required", "places")) == 0).withColumn("covered", F.size("places"))
     s = s.withColumn("coverage", F.col("covered") / F.col("template_words")).filter(F.col("coverage") >= min_coverage)
     # one array a document: the spans of one text are few
-    x = F.struct((-F.col("coverage")).alias("c"), (F.col("start_word") - F.col("end_word")).alias("l"), "license", "start_word", "end_word", "votes", "diagonals", "covered", "template_words", "coverage")
+    x = F.struct((-F.col("coverage")).alias("c"), F.col("diagonals").alias("g"), (F.col("start_word") - F.col("end_word")).alias("l"), "license", "start_word", "end_word", "votes", "diagonals", "covered", "template_words", "coverage")
     per = s.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(x)).alias("xs"))
     best = F.aggregate("xs", F.filter("xs", lambda y: F.lit(False)), lambda a, y: F.when(F.exists(a, lambda z: (z.start_word < y.end_word) & (y.start_word < z.end_word)), a).otherwise(F.concat(a, F.array(y))))
     out = per.select("doc_id", F.explode(best).alias("x"))
@@ -168,9 +185,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_spans(table(spark, sf_dir, "documents"))
 
 
+_REQUIRED = ", ".join(f"('{name}', {p})" for name, text in sorted(TEMPLATES.items()) for p in required(template_words(text)))
 _VALUES = ", ".join(f"('{name}', {n}, {pos}, '{gram}')" for name, n, pos, gram, _, _ in template_rows())
 ORACLE_SQL = f"""
 WITH RECURSIVE t(license, template_words, tpos, gram) AS (VALUES {_VALUES}),
+rq(license, p) AS (VALUES {_REQUIRED}),
+nr AS (SELECT license, count(*) AS need FROM rq GROUP BY license),
 d AS (SELECT DISTINCT doc_id, text, regexp_extract_all(lower(text), '{WORD_RE2}') AS w FROM documents WHERE text IS NOT NULL),
 g AS (SELECT doc_id, text, i - 1 AS pos, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS gram FROM (SELECT doc_id, text, w, unnest(generate_series(1, len(w) - {K - 1})) AS i FROM d)),
 v AS (SELECT doc_id, text, license, template_words, pos, tpos, pos - tpos AS diagonal FROM g JOIN t USING (gram)),
@@ -178,11 +198,11 @@ a AS (SELECT doc_id, text, license, template_words, diagonal, min(pos) AS lo, ma
 b AS (SELECT *, CASE WHEN abs(diagonal - lag(diagonal) OVER q) <= {MAX_SHIFT} AND tlo > lag(thi) OVER q THEN 0 ELSE 1 END AS new FROM a
       WINDOW q AS (PARTITION BY doc_id, text, license ORDER BY lo, diagonal)),
 c AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, text, license ORDER BY lo, diagonal) AS span FROM b),
-cov AS (SELECT doc_id, text, license, span, count(DISTINCT p) AS covered FROM (SELECT c.doc_id, c.text, c.license, c.span, unnest(generate_series(v.tpos, v.tpos + {K - 1})) AS p
-        FROM c JOIN v ON c.doc_id IS NOT DISTINCT FROM v.doc_id AND c.text = v.text AND c.license = v.license AND c.diagonal = v.diagonal) GROUP BY ALL),
-s AS (SELECT c.doc_id, c.text, c.license, c.template_words, min(lo) AS start_word, max(hi) + {K} AS end_word, sum(n) AS votes, count(*) AS diagonals, any_value(covered) AS covered
+cov AS (SELECT x.doc_id, x.text, x.license, x.span, count(DISTINCT x.p) AS covered, count(DISTINCT rq.p) AS have FROM (SELECT c.doc_id, c.text, c.license, c.span, unnest(generate_series(v.tpos, v.tpos + {K - 1})) AS p
+        FROM c JOIN v ON c.doc_id IS NOT DISTINCT FROM v.doc_id AND c.text = v.text AND c.license = v.license AND c.diagonal = v.diagonal) x LEFT JOIN rq ON rq.license = x.license AND rq.p = x.p GROUP BY ALL),
+s AS (SELECT c.doc_id, c.text, c.license, c.template_words, min(lo) AS start_word, max(hi) + {K} AS end_word, sum(n) AS votes, count(*) AS diagonals, any_value(covered) AS covered, any_value(have) AS have
       FROM c JOIN cov ON c.doc_id IS NOT DISTINCT FROM cov.doc_id AND c.text = cov.text AND c.license = cov.license AND c.span = cov.span GROUP BY c.doc_id, c.text, c.license, c.template_words, c.span),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, text ORDER BY covered / template_words DESC, end_word - start_word DESC, license, start_word) AS k FROM s WHERE covered / template_words >= {MIN_COVERAGE}),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, text ORDER BY covered / template_words DESC, diagonals, end_word - start_word DESC, license, start_word) AS k FROM s LEFT JOIN nr USING (license) WHERE covered / template_words >= {MIN_COVERAGE} AND have >= coalesce(need, 0)),
 p AS (SELECT doc_id, text, 1 AS k, [k] AS kept, [[start_word, end_word]] AS spans FROM r WHERE k = 1
       UNION ALL
       SELECT p.doc_id, p.text, r.k, CASE WHEN o THEN kept ELSE list_append(kept, r.k) END, CASE WHEN o THEN spans ELSE list_append(spans, [start_word, end_word]) END

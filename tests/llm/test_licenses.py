@@ -63,6 +63,12 @@ REAL = [
     ("Distributed under the terms of the MIT license.", "mit"),
     ("SPDX-License-Identifier: GPL-3.0-or-later", "gpl-3.0"),
     ("SPDX-License-Identifier: Zlib", None),
+    ("This work is licensed under the GNU General Public License, version 1.", "gpl-1.0"),
+    ("This work is licensed under the GNU Lesser General Public License, version 3.", "lgpl-3.0"),
+    ("This work is not licensed under the GNU General Public License, as of today.", None),
+    ("Licensed under the Apache License, version of the day.", None),
+    ("Licensed under the Apache License, Version 2", "apache-2.0"),
+    ("Licensed under CC BY 5.0.", None),
     ("The terms of the lease are under the law of the state; the license was issued in version 3 of the form.", None),
     *((f"This work is licensed under a Creative Commons {name} {v} International License.", f"cc-{n}-{v}") for v in ("3.0", "4.0") for n, name in (("by", "Attribution"), ("by-sa", "Attribution-ShareAlike"), ("by-nc", "Attribution-NonCommercial"), ("by-nd", "Attribution-NoDerivatives"), ("by-nc-sa", "Attribution-NonCommercial-ShareAlike"), ("by-nc-nd", "Attribution-NonCommercial-NoDerivatives"))),
     *((_full(file), n) for file, n in (("Apache-2.0", "apache-2.0"), ("GPL-2", "gpl-2.0"), ("GPL-3", "gpl-3.0"), ("LGPL-2.1", "lgpl-2.1"), ("LGPL-3", "lgpl-3.0"), ("MPL-2.0", "mpl-2.0"), ("CC0-1.0", "cc0-1.0"))),
@@ -78,3 +84,13 @@ def test_real_notices_and_texts(spark):
         got.setdefault(d, set()).add(name.partition(":")[0])
     wrong = [(t[:90], want, got.get(i)) for i, (t, want) in enumerate(REAL) if got.get(i, set()) != ({want} if want else set())]
     assert not wrong
+
+
+def test_ties_go_to_the_fewer_changes_then_the_length_then_the_name(spark):
+    t = {"b": "one two three four five", "a": "one two three four five", "long": "one two three four five six seven", "gap": "one two three five six seven"}
+    assert found(licenses.license_spans(brute.table(spark, [(1, "one two three four five")]), t))[0][1] == "a"
+    assert [x[1] for x in found(licenses.license_spans(brute.table(spark, [(1, "one two three four five six seven")]), t))] == ["long"]
+
+
+def test_required_words():
+    assert [licenses.template_words(t)[i] for t in ("GNU Lesser General Public License version 2.1", "Apache License 2.0") for i in licenses.required(licenses.template_words(t))] == ["lesser", "2", "1", "apache", "2"]
