@@ -12,6 +12,9 @@
    length it stops; suffixes whose value is still open share that many words with a neighbour.
 4. Repeated windows return to all occurrences of their piece and are merged to spans a document.
 
+An anchor of more than ``HOT`` distinct pieces (a phrase that a large part of all documents share) would be one array without
+bound: its windows are counted by their hashes instead, in an aggregate with map-side combining, to the same result.
+
 The result is exact (up to 64-bit hash collisions) over the whole corpus, however it is partitioned.
 
 Defined results
@@ -29,12 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stage, table, text_key
+from .common import in_arrow, stage, table, text_key
 from .words import U64, WORD_RE2, Words, _powers, finish, ngram_hash, pieces, signed, strings
 
 LENGTH, ANCHOR = 50, 12
 #: Words to one suffix array; more pieces in a task go to further arrays, an anchor's pieces always to one.
 BATCH = 1_500_000
+#: Distinct pieces of an anchor (of at most 88 words each) that one array takes.
+HOT = 10_000
 #: Fetch lists of at most so many documents are broadcast; longer ones meet the texts in a shuffle, to the same effect.
 BROADCAST_ROWS = 100_000
 
@@ -91,7 +96,7 @@ def anchor_rows(docs: DataFrame, length: int, k: int) -> DataFrame:
                     names=["anchor", "piece", "doc_id", "text_key", "start", "words"],
                 )
 
-    return d.mapInArrow(run, "anchor bigint, piece bigint, doc_id bigint, text_key bigint, start int, words int")
+    return in_arrow(d, run, "anchor bigint, piece bigint, doc_id bigint, text_key bigint, start int, words int")
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
@@ -222,7 +227,24 @@ def _bodies(wanted: DataFrame) -> DataFrame:
                 rows = [(x["anchor"], x["piece"], int(w.first[i]) + x["start"], x["words"]) for i in range(len(part)) for x in lists[off + i].as_py()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([w.hash[r[2] : r[2] + r[3]].tobytes() for r in rows], pa.binary())], names=["anchor", "piece", "body"])
 
-    return wanted.mapInArrow(run, "anchor bigint, piece bigint, body binary")
+    return in_arrow(wanted, run, "anchor bigint, piece bigint, body binary")
+
+
+def _counted(bodies: DataFrame, length: int) -> DataFrame:
+    """(anchor, piece, from, to) of the windows of distinct pieces that stand in more than one place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = [ngram_hash(np.frombuffer(x.as_buffer(), dtype=U64), length) for x in b.column("body")]
+            n = np.array([len(x) for x in h], dtype=np.int64)
+            rows = pa.array(np.repeat(np.arange(len(h)), n))
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            flat = np.concatenate(h) if h else np.zeros(0, U64)
+            yield pa.RecordBatch.from_arrays([b.column("anchor").take(rows), b.column("piece").take(rows), pa.array(at.astype(np.int32)), pa.array(signed(flat))], names=["anchor", "piece", "from", "h"])
+
+    w = stage(in_arrow(bodies.select("anchor", "piece", "body"), run, "anchor bigint, piece bigint, from int, h bigint"), "windows")
+    often = w.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1").select("h")
+    return w.join(often, "h", "left_semi").select("anchor", "piece", "from", (F.col("from") + length).cast("int").alias("to"))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> DataFrame:
@@ -240,8 +262,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> Da
         wanted = F.broadcast(wanted)
     # rows that repeat one document give the same pieces; that of an anchor and piece is taken once
     texts = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("i")) & (text_key() == F.col("t"))).select("text", "pieces")
-    bodies = _bodies(texts).repartition("anchor").dropDuplicates(["anchor", "piece"]).sortWithinPartitions("anchor", "piece")
-    found = bodies.mapInArrow(_compare(length), "anchor bigint, piece bigint, from int, to int")
+    bodies = _bodies(texts)
+    hot = mixed.groupBy("anchor").agg(F.count("*").alias("k")).filter(F.col("k") > HOT).select("anchor")
+    found = None
+    if hot.head(1):
+        hot = stage(hot, "hot")
+        bodies = stage(bodies, "bodies")
+        found = _counted(bodies.join(hot, "anchor", "left_semi").dropDuplicates(["anchor", "piece"]), length)
+        bodies = bodies.join(hot, "anchor", "left_anti")
+    bodies = bodies.repartition("anchor").dropDuplicates(["anchor", "piece"]).sortWithinPartitions("anchor", "piece")
+    compared = in_arrow(bodies, _compare(length), "anchor bigint, piece bigint, from int, to int")
+    found = compared if found is None else compared.unionByName(found)
     same = mixed.filter("n > 1").select("anchor", "piece", F.lit(0).alias("from"), F.col("words").alias("to"))
     part = occ.filter("not alike").join(found.unionByName(same), ["anchor", "piece"]).select("doc_id", "text_key", (F.col("start") + F.col("from")).alias("s"), (F.col("start") + F.col("to")).alias("e"))
     whole = occ.filter("alike").select("doc_id", "text_key", F.col("start").alias("s"), (F.col("start") + F.col("words")).alias("e"))

@@ -34,12 +34,14 @@ def test_expansion_is_the_common_prefixes(symbols, length):
     assert more.tolist() == [i > 0 and lcp(sa[i - 1], sa[i]) >= length for i in range(len(t))]
 
 
-def test_small_alphabets_against_brute_force(spark):
+def test_small_alphabets_against_brute_force(spark, monkeypatch):
     r = random.Random(9)
     rows = [(i, " ".join(r.choice("abc") for _ in range(r.randint(0, 60)))) for i in range(40)]
     rows += [(i, " ".join(r.choice("abcdefghijkl") for _ in range(80))) for i in range(40, 60)]
     for length, k in ((6, 3), (9, 4)):
-        assert spans(suffix.repeated_spans(brute.table(spark, rows), length, k)) == brute.repeated_spans(rows, length)
+        for hot in (suffix.HOT, 5):
+            monkeypatch.setattr(suffix, "HOT", hot)
+            assert spans(suffix.repeated_spans(brute.table(spark, rows), length, k)) == brute.repeated_spans(rows, length)
 
 
 def test_edges(spark, monkeypatch):
@@ -57,4 +59,6 @@ def test_edges(spark, monkeypatch):
     assert spans(suffix.repeated_spans(d)) == want
     monkeypatch.setattr(suffix, "BROADCAST_ROWS", 0)  # fetched by a shuffle instead
     assert spans(suffix.repeated_spans(d)) == want
+    monkeypatch.setattr(suffix, "HOT", 0)  # windows counted by hash instead of compared
+    assert spans(suffix.repeated_spans(d)) == want
     assert suffix.repeated_spans(brute.table(spark, [])).count() == 0
