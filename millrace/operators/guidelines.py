@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import text as T
+from ..sources.staging import stage
 from . import dedup, lang
 
 
@@ -340,9 +341,10 @@ def process(df: DataFrame, source: str) -> DataFrame:
     return made.select(*[F.explode_outer(c).alias(c) if c == "clean_text" else F.col(c) for c in made.columns]).filter("clean_text is not null")
 
 
-def build(df: DataFrame, source: str, order: str, english_only: bool = True, min_chars: int = 10) -> DataFrame:
-    """Process, keep English, keep the first of equal fingerprints, keep what is long enough."""
+def build(df: DataFrame, source: str, order: str, detect: Callable[[Column], Column] | None = lang.detect, min_chars: int = 10) -> DataFrame:
+    """Process, keep English (by ``detect``, unless that is None), keep the first of equal fingerprints, keep what is long enough.
+    The cleaned articles are written once; after that only keys are compared."""
     out = process(df, source)
-    if english_only:
-        out = out.filter(lang.detect(F.substring("clean_text", 1, 10_000)) == "en")
-    return dedup.first_by_prefix(out, "clean_text", order, by=["source"]).filter(F.length("clean_text") > min_chars)
+    if detect is not None:
+        out = out.filter(detect(F.substring("clean_text", 1, 10_000)) == "en")
+    return dedup.first_by_prefix(stage(out, "processed"), "clean_text", order, by=["source"]).filter(F.length("clean_text") > min_chars)

@@ -101,20 +101,12 @@ def patient(html: str) -> str:
     return "".join(out).strip()
 
 
-def wanted_section(name: str) -> bool:
-    return "Symptoms" in name or "Diagnosis" in name
-
-
 def guidance(html: str) -> str:
     """Third and fourth headings and paragraphs, without their numbers and [n]."""
     out = [{"h3": "\n\n# ", "h4": "\n\n## ", "p": "\n"}[n.tag] + re.sub(r"^\d+(\.\d+)*\s*", "", n.text.strip()) for n in nodes(html, "h3 h4 p")]
     return re.sub(r"\[\d+\]", "", "".join(out)).lstrip("\n")
 
 
-def section_name(name: str) -> str:
-    return re.sub(r"^\s*\d+\s*", "", name)
-
-
 def hospital(html: str) -> str:
     """From the key points if there are any, up to the date or the notes; lists once, with their inner lines indented."""
     found = nodes(html, "h2 h3 p li")
@@ -145,6 +137,25 @@ def to_text(html: Column, flavour: str = "encyclopaedia") -> Column:
     return convert(html)
 
 
+#: By site flavour: which sections of an article are taken, and what is cut from their names.
+SECTION_RULES = {"patient": (r"Symptoms|Diagnosis", None), "guidance": (None, r"^\s*\d+\s*")}
+
+
+def site_sections(sections: Column, flavour: str) -> Column:
+    """Of an article's sections, an array of (name, html), those that are wanted, as (name, body)."""
+    wanted, cut = SECTION_RULES[flavour]
+    rule = FLAVOURS[flavour]
+    kept = F.filter(sections, lambda s: s["name"].rlike(wanted)) if wanted else sections
+    name = (lambda s: F.regexp_replace(s["name"], cut, "")) if cut else (lambda s: s["name"])
+
+    @F.pandas_udf("array<string>")
+    def bodies(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda xs: [rule(x) if x is not None else None for x in xs], na_action="ignore")
+
+    made = bodies(F.transform(kept, lambda s: s["html"]))
+    return F.zip_with(F.transform(kept, name), made, lambda n, b: F.struct(n.alias("name"), b.alias("body")))
+
+
 def links(html: Column) -> Column:
     """Distinct link targets in order."""
     return F.array_distinct(F.regexp_extract_all(html, F.lit(r'(?i)<a\s[^>]*?href\s*=\s*"([^"]*)"'), F.lit(1)))

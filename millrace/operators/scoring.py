@@ -90,6 +90,18 @@ def approved_key(name: str) -> str:
     return spelled.translate({ord(x): None for x in ":,.-"})
 
 
+def approved_journals(names: DataFrame, name: str = "name") -> DataFrame:
+    """(key): the keys of a table of journal names, once each, to be joined to venues."""
+    spelled = F.translate(F.replace(F.lower(name), F.lit("&"), F.lit("and")), ":,.-", "")
+    return names.select(spelled.alias("key")).filter("key is not null").distinct()
+
+
+def with_approved(articles: DataFrame, journals: DataFrame, venue: str = "venue") -> DataFrame:
+    """``articles`` with ``approved``: whether the venue is one of the journals. The list is short; AQE broadcasts it if it is."""
+    j = journals.select(F.col("key").alias("__mr_journal"))
+    return articles.join(j, journal_key(F.col(venue)) == F.col("__mr_journal"), "left").withColumn("approved", F.col("__mr_journal").isNotNull()).drop("__mr_journal")
+
+
 def date_band(d: Column) -> Column:
     return F.when(d < F.lit(OLD_BEFORE).cast("timestamp"), "old").when(d < F.lit(NEW_FROM).cast("timestamp"), "middle").when(d.isNotNull(), "new")
 

@@ -118,9 +118,10 @@ def replace_sources(spark, d):
     return joins.replace_source(x.withColumn("kind", F.lit("old")), new).select("doc_id", "source", "kind")
 
 
-@query("SELECT DISTINCT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT DISTINCT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def not_yet_done(spark, d):
-    return joins.without(table(spark, d, "customer").select(F.col("c_custkey").alias("k")).distinct(), table(spark, d, "orders").select(F.col("o_custkey").alias("k")), "k")
+    done = table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("k"))
+    return joins.without(table(spark, d, "customer").select(F.col("c_custkey").alias("k")).distinct(), done, "k")
 
 
 # --- scoring

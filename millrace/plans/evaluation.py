@@ -175,13 +175,6 @@ def math_answers(spark, d):
     return P.BENCHMARKS["gsm8k"].prepare(p).select("p_partkey", "prompt", "gold", "steps")
 
 
-@query()
-def truthful_choices(spark, d):
-    choices = F.struct(F.array("p_name", "p_brand", "p_type").alias("choices"), F.array(*map(F.lit, (0, 1, 0))).alias("labels"))
-    p = table(spark, d, "part").select("p_partkey", F.concat("p_name", F.col("p_partkey").cast("string")).alias("question"), choices.alias("mc1_targets"))
-    return P.BENCHMARKS["truthfulqa"].prepare(p).select("p_partkey", "prompt", "gold")
-
-
 @query("SELECT item_id, seed, text || ' #' AS prompt, substring(reverse(text || ' #'), 1, 20) AS output FROM benchmark, (SELECT unnest([32, 432, 1234]) AS seed)")
 def generation(spark, d):
     """A deterministic stand-in for a model: the prompt reversed, to 20 characters."""

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.staging import spread
+
 Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "guideline_corpus"
 _queries: dict[str, Query] = {}
@@ -27,11 +29,12 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("documents", "pages") else df  # the work on texts is large against their reading
 
 
 def _load() -> None:
-    from . import corpus, evaluation, text  # noqa: F401 - they register themselves
+    from . import corpus, evaluation, more, text  # noqa: F401 - they register themselves
 
 
 def queries() -> dict[str, Query]:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import guidelines, html, lang, sampling, standoff
+from ..operators import guidelines, html, sampling, standoff
 from ..sources import io
 from . import processors_sql
 from . import sql as S
@@ -182,13 +182,6 @@ SELECT doc_id, 'spor' AS source, CAST(NULL AS VARCHAR) AS title, t AS clean_text
 """)(_processor("spor"))
 
 
-@query()
-def lang_detect(spark, d):
-    """Rows and agreement with the given language, by language."""
-    x = _docs(spark, d).select("lang", lang.detect(F.substring("text", 1, 2000)).alias("found"))
-    return x.groupBy("lang").agg(F.count("*").alias("docs"), F.count_if(F.col("lang") == F.col("found")).alias("agreed"))
-
-
 @query("SELECT doc_id, lang FROM documents WHERE lang = 'en' AND length(text) > 10")
 def lang_filter_given(spark, d):
     return _docs(spark, d).filter((F.col("lang") == "en") & (F.length("text") > 10)).select("doc_id", "lang")
@@ -254,17 +247,6 @@ def abstract_clean(spark, d):
     return standoff.abstracts(a, "doc_id", "doc_id").select("doc_id", "text")
 
 
-@query()
-def xml_mesh(spark, d):
-    """Article-set XML made from parts, parsed, and joined back."""
-    from ..operators import joins
-
-    p = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("pmid"), "p_type", "p_brand")
-    one = F.concat(F.lit("<PubmedArticle><MedlineCitation><PMID>"), "pmid", F.lit("</PMID><MeshHeading><DescriptorName>"), "p_type", F.lit("</DescriptorName><QualifierName>q</QualifierName></MeshHeading><PublicationType>"), "p_brand", F.lit("</PublicationType></MedlineCitation></PubmedArticle>"))
-    sets = p.groupBy(F.floor(F.col("pmid").cast("long") / 100).alias("b")).agg(F.concat(F.lit("<PubmedArticleSet>"), F.array_join(F.collect_list(one), ""), F.lit("</PubmedArticleSet>")).alias("xml"))
-    return joins.enrich_from_xml(p, sets, "pmid").select("pmid", "p_type", F.array_join("mesh", ",").alias("mesh"), F.array_join("publicationtype", ",").alias("types"))
-
-
 @query("SELECT doc_id, CASE WHEN contains(p, 's2orc') THEN 's2orc' WHEN contains(p, 'abstracts') THEN 'abstracts' WHEN contains(p, 'guidelines') THEN 'guidelines' WHEN contains(p, 'replay') THEN 'replay' ELSE 'unknown' END AS subset FROM (SELECT doc_id, ['a/s2orc/x', 'b/abstracts', 'guidelines.jsonl', 'replay/part', 'other'][1 + doc_id % 5] AS p FROM documents)")
 def path_subset(spark, d):
     p = F.element_at(F.array(*map(F.lit, ("a/s2orc/x", "b/abstracts", "guidelines.jsonl", "replay/part", "other"))), (F.col("doc_id") % 5 + 1).cast("int"))

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import json
+import warnings
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,7 +34,7 @@ def read_json(spark: SparkSession, path: str, schema: StructType | str) -> DataF
 def read_gzip(spark: SparkSession, path: str, schema: StructType | str, partitions: int | None = None) -> DataFrame:
     """Gzip members can't be split, so rows are spread after the scan; by default over the shuffle partitions."""
     df = read_jsonl(spark, path, schema)
-    return df.repartition(partitions) if partitions else df.repartition()
+    return df.repartition(partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def rows_between(df: DataFrame, order: str, start: int, end: int | None = None) -> DataFrame:
@@ -80,24 +80,32 @@ def composite(*parts: DataFrame) -> DataFrame:
     return out
 
 
-def benchmark_files(root: str | Path) -> dict[str, Path]:
-    """The first file named for training and the first for testing or validation, by name."""
-    files = sorted(p for p in Path(root).iterdir() if p.is_file())
-    wanted = {"train": ("train",), "test": ("test", "val")}
-    return {k: f[0] for k, names in wanted.items() if (f := [p for p in files if any(n in p.name for n in names)])}
+def benchmark_files(spark: SparkSession, root: str) -> dict[str, str]:
+    """The first file named for training and the first for testing or validation, by name; a warning where several are."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(str(root))
+    found = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(hadoop)
+    files = sorted((f.getPath().getName(), f.getPath().toString()) for f in found if not f.getPath().getName().startswith((".", "_")))
+    wanted, out = {"train": ("train",), "test": ("test", "val")}, {}
+    for kind, names in wanted.items():
+        fits = [path for name, path in files if any(n in name for n in names)]
+        if len(fits) > 1:
+            warnings.warn(f"{root} has {len(fits)} files for {kind}; the first is taken", stacklevel=2)
+        if fits:
+            out[kind] = fits[0]
+    return out
 
 
 def read_benchmark(spark: SparkSession, root: str, schema: str, split: str, subsets: tuple[str, ...] = ()) -> DataFrame:
-    """A split from local files, or the union of the subset folders with a ``subset`` column."""
+    """A split from files in a folder, or the union of the subset folders with a ``subset`` column."""
     if split not in ("train", "test", "validation"):
         raise ValueError(f"unknown split {split!r}")
     if subsets:
         return composite(*[read_benchmark(spark, f"{root}/{s}", schema, split).withColumn("subset", F.lit(s)) for s in subsets])
-    files = benchmark_files(root)
+    files = benchmark_files(spark, root)
     kind = "train" if split == "train" else "test"
     if kind not in files:
         raise FileNotFoundError(f"{root} has no file for {split}")
-    return read_jsonl(spark, str(files[kind]), schema)
+    return read_jsonl(spark, files[kind], schema)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -196,7 +204,54 @@ def write_report(df: DataFrame, path: str, limit: int = 10_000) -> None:
     rows = df.limit(limit + 1).collect()
     if len(rows) > limit:
         raise ValueError(f"a report of more than {limit} rows; write it as a table")
-    Path(path).write_text(json.dumps([r.asDict(recursive=True) for r in rows], indent=2, default=str))
+    write_text(df.sparkSession, [json.dumps([r.asDict(recursive=True) for r in rows], indent=2, default=str)], path)
+
+
+def write_text(spark: SparkSession, lines: list[str], path: str) -> None:
+    """A few lines as one text file, through the cluster's file system: a path that executors and driver share."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(hadoop, True)
+    try:
+        out.write(bytearray("\n".join([*lines, ""]).encode()))
+    finally:
+        out.close()
+
+
+def text_report(title: str, counts: dict[str, int | float | None], of: int | None = None) -> list[str]:
+    """Lines "name: value", with shares of ``of`` in percent where it is given."""
+    value = lambda v: "none" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)
+    share = lambda v: f" ({v / of * 100:.2f}%)" if of and isinstance(v, int) else ""
+    return [f"# {title}", *[f"{k}: {value(v)}{share(v)}" for k, v in counts.items()], "-" * 20]
+
+
+def finetune_path(root: str, benchmark: str, prompt: str, split: str) -> str:
+    return f"{root.rstrip('/')}/{benchmark}_{prompt}_{split}.jsonl"
+
+
+def write_finetune(df: DataFrame, root: str, benchmark: str, prompt: str, split: str) -> str:
+    """A prepared benchmark as JSON lines, under the name of benchmark, prompt and split; returns the path."""
+    if split not in ("train", "test", "validation"):
+        raise ValueError(f"unknown split {split!r}")
+    path = finetune_path(root, benchmark, prompt, split)
+    write_jsonl(df, path)
+    return path
+
+
+def article_text(abstract: Column, sections: Column) -> Column:
+    """Abstract and sections, an array of (heading, text), of a parsed file: the first section follows the abstract directly."""
+    parts = F.transform(sections, lambda s: F.concat(F.lit("# "), s["heading"], F.lit("\n"), s["text"]))
+    return F.concat(F.coalesce(abstract, F.lit("None")), F.array_join(parts, "\n"))
+
+
+def replay(df: DataFrame, key: str, path: str, keep: float = 1.0, seed: int | None = None) -> None:
+    """A share of a replay corpus as JSON lines; of a stream the same rows as of the table, in one pass. Refuses to overwrite."""
+    from ..streaming import streams
+
+    out = streams.bernoulli(df, key, keep, str(seed if seed is not None else 42))
+    if df.isStreaming:
+        streams.write(out, path, f"{path.rstrip('/')}-checkpoint", "json").awaitTermination()
+    else:
+        write_jsonl(out, path)
 
 
 def write_samples(df: DataFrame, path: str, group: str, key: str, text: str, k: int = 10) -> None:

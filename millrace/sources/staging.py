@@ -43,3 +43,9 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 def broadcast_if_small(keys: DataFrame) -> DataFrame:
     """A staged table of keys, marked for broadcast if it has few rows (it decides only how a join runs)."""
     return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than half the cores (one file of one row group) over all of them; any other as it is."""
+    sc = df.sparkSession.sparkContext
+    return df.repartition(sc.defaultParallelism) if df._jdf.rdd().getNumPartitions() * 2 <= sc.defaultParallelism else df

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,7 +105,8 @@ def test_processors_leave_out_what_they_must(spark):
 
 
 def test_language(spark):
-    assert [lang.guess(t) for t in ("the cat and the dog", "der Hund und die Katze", "le chat et les chiens", "el gato y los perros", "", None, "12")] == ["en", "de", "fr", "es", "unknown", "unknown", "unknown"]
+    texts = ["the cat and the dog", "der Hund und die Katze", "le chat et les chiens", "el gato y los perros", "", None, "12", "il gatto che non è con gli altri di questo", "кошка и собака", "猫と犬がいる", "zzyx qwrt plmk vbnd"]
+    assert lang.names(pa.array(texts, pa.string())) == ["en", "de", "fr", "es", "unknown", "unknown", "unknown", "it", "ru", "ja", "unknown"]
 
 
 def test_html():
