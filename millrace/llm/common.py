@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.staging import shared_dir, stage  # noqa: F401 - the operators take them from here
+from ..sources.staging import shared_dir, spread, stage  # noqa: F401 - the operators take them from here
 
 #: Bytes of an Arrow batch that goes to a Python worker, so that its memory follows neither the number of rows in a batch nor
 #: their length (one row that is longer goes alone). A session that has set its own bound keeps it.
@@ -18,7 +18,8 @@ _ARROW_BYTES, _ARROW_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name == "documents" else df
 
 
 def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
