@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -175,6 +175,8 @@ _ASK = {
     "mmlu_general": "Answer the question: choose one of A to D.",
     "gsm8k": "Work out the problem and give the number.",
     "blurb": "List the entities, separated by #.",
+    "open_question": "Answer the question fully and plainly.",
+    "mcq": "Choose the one right answer of the options.",
 }
 INSTRUCTIONS = {f"{k}{suffix}": (v, end) for k, v in _ASK.items() for suffix, end in (("", "The answer is:"), ("_cot", "Think step by step."))}
 
@@ -187,6 +189,37 @@ def instruction(name: str, cot: bool = False) -> tuple[str, str]:
     return INSTRUCTIONS[base + ("_cot" if cot else "")]
 
 
+@dataclass(frozen=True)
+class Selection:
+    """How a benchmark is run: its kind of task, the split, the name of its prompt, the column of its explanations."""
+
+    task: str
+    split: str
+    prompt: str
+    steps: str | None = None
+
+
+_OPEN = frozenset(("medicationqa", "blurb"))
+_STEPS = {"truthfulqa": "exp", "medmcqa": "exp", "pubmedqa": "long_answer"}
+_BORROWED = {"medqa4": "medqa", "mmlu_medical": "medmcqa", "mmlu_general": "medmcqa", "medicationqa": "open_question", "blurb": "open_question"}
+_RUN = ("truthfulqa", "medmcqa", "pubmedqa", "medqa", "medqa4", "medicationqa", "mmlu_medical", "mmlu_general", "blurb")
+_split_of = lambda n: "validation" if n in ("truthfulqa", "medmcqa") else "test"
+#: By table and benchmark. The simple one asks all choices alike, and pubmedqa openly; the one for fine-tuning has its own splits.
+SELECTIONS: dict[str, dict[str, Selection]] = {
+    "curated": {n: Selection("open" if n in _OPEN else "mcq", _split_of(n), _BORROWED.get(n, n), _STEPS.get(n)) for n in _RUN},
+    "simple": {n: Selection("open" if n in _OPEN else "mcq", _split_of(n), "open_question" if n in _OPEN or n == "pubmedqa" else "mcq", _STEPS.get(n)) for n in _RUN},
+    "finetune": {n: Selection("open" if n in ("medicationqa", "gsm8k") else "mcq", s, _BORROWED.get(n, n), c) for n, s, c in (("medmcqa", "validation", "exp"), ("pubmedqa", "validation", "LONG_ANSWER"), ("medqa", "test", None), ("medicationqa", "train", None), ("mmlu_medical", "test", None), ("mmlu_general", "test", None), ("gsm8k", "test", "steps"))},
+}
+
+
+def selected(kind: str, benchmark: str, tags: bool = False, cot: bool = False) -> Selection:
+    """A table's entry, its prompt name with the endings for tags and steps."""
+    if kind not in SELECTIONS or benchmark not in SELECTIONS[kind]:
+        raise KeyError(f"no run of {benchmark!r} in {kind!r}; there are {sorted(SELECTIONS.get(kind, SELECTIONS))}")
+    s = SELECTIONS[kind][benchmark]
+    return replace(s, prompt=s.prompt + "_tags" * tags + "_cot" * cot)
+
+
 def prepare(df: DataFrame, name: str, shots: int = 0, bank: DataFrame | None = None, key: str = "id", cot: bool = False, with_instruction: bool = True) -> DataFrame:
     """Prompt and gold, then the instruction, then the demonstrations."""
     if name not in BENCHMARKS:
@@ -204,12 +237,14 @@ def with_subset(df: DataFrame, subset: str) -> DataFrame:
 # --- generation
 
 
-def generate(df: DataFrame, model: Callable[[list[str]], list[str]], stop: tuple[str, ...] = ("###",), batch: int = 16, seeds: tuple[int, ...] = ()) -> DataFrame:
-    """``df`` with ``output``: each distinct prompt (and seed) is generated once, in batches, and joined back. ``model``
-    goes to the workers; it is called with lists of prompts."""
+def generate(df: DataFrame, model: Callable[[list[str]], list[str]], stop: tuple[str, ...] = ("###",), batch: int = 16, seeds: tuple[int, ...] = (), branches: int = 0) -> DataFrame:
+    """``df`` with ``output``: each distinct prompt (and seed, and branch of 1 to ``branches``) is generated once, in batches, and joined
+    back. ``model`` goes to the workers; it is called with lists of prompts."""
     rows = df.select("prompt").distinct()
     if seeds:
         rows = rows.crossJoin(df.sparkSession.createDataFrame([(s,) for s in seeds], "seed int"))
+    if branches:
+        rows = rows.withColumn("branch", F.explode(F.sequence(F.lit(1), F.lit(branches))))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:

@@ -70,7 +70,8 @@ def citations_per_year(citations: Column, date: Column, reference: dt.date = REF
 
 
 def thresholds(df: DataFrame, c: Columns = Columns(), reference: dt.date = REFERENCE_DATE, approximate: bool = False) -> DataFrame:
-    """One row (top25, middle50, bottom25) of citations per year; exact by interpolation, or approximate with bounded state."""
+    """One row (top25, middle50, bottom25) of citations per year; exact by interpolation, with one entry of state a distinct value
+    (citation counts by years are few values, however many the articles), or approximate with bounded state."""
     x = df.select(citations_per_year(F.col(c.citations), parsed_date(F.col(c.date)), reference).alias("x")).filter("x is not null")
     q = F.percentile_approx("x", [0.75, 0.5, 0.25], 10_000) if approximate else F.percentile("x", F.array(F.lit(0.75), F.lit(0.5), F.lit(0.25)))
     return x.agg(q.alias("q")).select(*[F.col("q")[i].alias(b) for i, b in enumerate(BANDS)])

@@ -284,6 +284,46 @@ def top_token(spark, d):
     return table(spark, d, "part").select("p_partkey", P.top_token(scores).alias("token"))
 
 
+_T = "'<|im_start|>'"
+_CHAT = {
+    "orca": f"{_T} || ' system' || chr(10) || 'You help people find information.' || '<|im_end|>' || chr(10) || {_T} || ' question' || chr(10) || t || '<|im_end|>' || chr(10) || {_T} || ' answer' || chr(10)",
+    "medical": f"{_T} || ' system' || chr(10) || 'You answer helpfully and truthfully.' || '<|im_end|>' || chr(10) || ' ' || {_T} || ' user' || chr(10) || t || '<|im_end|>' || chr(10) || ' ' || {_T} || ' assistant' || chr(10)",
+    "medmcqa": f"{_T} || 'question' || chr(10) || t || '<|im_end|>' || chr(10) || {_T} || 'answer' || chr(10)",
+    "med42": f"chr(10) || '<|system|>: You are a medical assistant.' || chr(10) || '<|prompter|>:' || {S.strip('text')} || chr(10) || '<|assistant|>:'",
+    "base": "t",
+}
+
+
+@query(f"SELECT item_id, {', '.join(f'{v} AS {k}' for k, v in _CHAT.items())}, substring(t, 1, length(t) - 1) AS shots FROM (SELECT item_id, text, 'Q. Question: ' || text AS t FROM benchmark)")
+def chat_templates(spark, d):
+    """The template of each kind of checkpoint."""
+    t = F.concat(F.lit("Q. Question: "), "text")
+    names = {"orca": "7b-orca", "medical": "7b-medical", "medmcqa": "7b-medmcqa", "med42": "med42-70b", "base": "7b"}
+    return table(spark, d, "benchmark").select("item_id", *[P.chat_template(t, c).alias(k) for k, c in names.items()], P.chat_template(t, "7b", 2).alias("shots"))
+
+
+def _answers(spark, d) -> DataFrame:
+    n = (F.col("event_id") % 50).cast("string")
+    out = F.when(F.col("event_id") % 3 == 0, F.concat(n, F.lit("\n\nand on"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit(" "), n, F.lit("."))).otherwise("none")
+    return table(spark, d, "events").select("event_id", out.alias("output"), F.when(F.col("event_id") % 2 == 0, n).otherwise("x").alias("gold"))
+
+
+_NUMERIC = """SELECT event_id, CAST(CASE WHEN event_id % 3 = 2 THEN 2 WHEN event_id % 2 = 0 THEN 1 ELSE 0 END AS INTEGER) AS status, CASE WHEN event_id % 3 = 2 THEN 'none' ELSE CAST(event_id % 50 AS VARCHAR) END AS pred FROM events"""
+
+
+@query(_NUMERIC)
+def answer_numeric(spark, d):
+    """Numbers; of several blocks the first counts, as in answers to few-shot prompts."""
+    return E.judged(_answers(spark, d), shot=True, kind="numeric").select("event_id", "status", "pred")
+
+
+@query("SELECT item_id, branch, text AS prompt, reverse(substring(text, 1, 10)) AS output FROM benchmark, (SELECT unnest(range(1, 11))::INTEGER AS branch)")
+def generation_branches(spark, d):
+    """Ten branches a prompt, from a deterministic stand-in for a model."""
+    b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("prompt"))
+    return P.generate(b, lambda xs: [x[:10][::-1] for x in xs], branches=10).select("item_id", "branch", "prompt", "output")
+
+
 # --- expressions
 
 

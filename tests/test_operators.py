@@ -194,3 +194,14 @@ def test_statistics(spark):
     s = {r.source: r for r in stats.source_stats(docs).collect()}
     assert s[None].docs == docs.count() == sum(r.docs for k, r in s.items() if k)
     assert sum(r.n for r in stats.step_counts(docs, {"never": F.lit(False), "null": F.lit(None)}).collect()) == docs.count()
+
+
+def test_selections():
+    assert prompts.selected("curated", "medqa4") == prompts.Selection("mcq", "test", "medqa", None)
+    assert prompts.selected("simple", "pubmedqa", cot=True) == prompts.Selection("mcq", "test", "open_question_cot", "long_answer")
+    assert prompts.selected("finetune", "gsm8k", tags=True, cot=True).prompt == "gsm8k_tags_cot"
+    for kind, runs in prompts.SELECTIONS.items():
+        for name in runs:
+            assert prompts.instruction(prompts.selected(kind, name).prompt)
+    with pytest.raises(KeyError):
+        prompts.selected("finetune", "blurb")
