@@ -24,7 +24,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY source, {S.fingerprint('t')} ORD
 f AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i FROM k WHERE r = 1 AND length(t) > 10)
 SELECT sha1(source || i) AS id, source, t AS clean_text FROM f""")
 def guideline_corpus(spark, d):
-    """The flagship: clean, language, first of each fingerprint, length, ids."""
+    """Clean, given language, first of each fingerprint, length, ids."""
     # the cleaned texts are written once, and only keys are compared
     x = stage(_docs(spark, d).filter("lang = 'en'").select("doc_id", "source", T.clean(noisy(F.col("text"))).alias("clean_text")), "cleaned")
     x = dedup.first_by_prefix(x, "clean_text", "doc_id", ["source"]).filter(F.length("clean_text") > 10)

@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import evaluation as E
-from ..operators import guidelines, html, joins, lang, scoring, standoff
+from ..operators import dedup, guidelines, html, joins, lang, scoring, standoff
 from ..operators import prompts as P
 from ..sources import io
 from ..sources.staging import shared_dir
 from ..streaming import streams
+from . import processors_sql
 from . import sql as S
 from .registry import query, table
-from .text import _RAW, _guideline
+from .text import _RAW, raw_articles
 
 _DOC = "doc_id bigint, text string, lang string"
 
@@ -180,15 +181,15 @@ def lang_detect(spark, d):
     return x.groupBy("lang").agg(F.count("*").alias("docs"), F.count_if(F.col("lang") == F.col("found")).alias("agreed"))
 
 
-@query(f"""WITH {_DETECTED.replace("substring(text, 1, 2000)", "substring(" + _RAW + ", 1, 10000)")},
-p AS (SELECT doc_id, {_RAW} AS t FROM documents JOIN found USING (doc_id) WHERE found = 'en'),
-q AS (SELECT *, row_number() OVER (PARTITION BY {S.fingerprint('t')} ORDER BY doc_id) AS r FROM p)
-SELECT doc_id, 'rch' AS source, 'Title ' || doc_id AS title, t AS clean_text FROM q WHERE r = 1 AND length(t) > 10""")
+@query(f"""WITH p AS ({processors_sql.processor_sql("who", _RAW)}),
+{_DETECTED.replace("substring(text, 1, 2000)", "substring(clean_text, 1, 10000)").replace("FROM documents", "FROM (SELECT doc_id, clean_text, NULL AS lang FROM p)")},
+q AS (SELECT p.doc_id, source, clean_text, row_number() OVER (PARTITION BY source, {S.fingerprint('clean_text')} ORDER BY p.doc_id) AS r FROM p JOIN found USING (doc_id) WHERE found = 'en'),
+fin AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i FROM q WHERE r = 1 AND length(clean_text) > 10)
+SELECT sha1(source || i) AS id, source, clean_text FROM fin""")
 def guideline_build(spark, d):
-    """A source's corpus end to end: process, detect, first of each fingerprint, length."""
-    raw = _guideline(spark, d, "rch")
-    docs = raw.select("doc_id", "title", F.col("clean_text").alias("text"), "url")
-    return guidelines.build(docs, "rch", "doc_id").select("doc_id", "source", "title", "clean_text")
+    """The flagship, a source's corpus end to end: process, detect, first of each fingerprint, length, ids."""
+    built = guidelines.build(raw_articles(spark, d, "who"), "who", "doc_id")
+    return dedup.surrogate_ids(built, "source", "doc_id").select("id", "source", "clean_text")
 
 
 # --- benchmarks

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources.staging import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
-FLAGSHIP = "guideline_corpus"
+FLAGSHIP = "guideline_build"
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 

@@ -148,14 +148,18 @@ def event_properties(spark, d):
     return e.select("event_id", "user_id", F.explode("m").alias("k", "value"))
 
 
-def _guideline(spark: SparkSession, d: str, name: str) -> DataFrame:
+def raw_articles(spark: SparkSession, d: str, name: str) -> DataFrame:
     """The documents as raw articles of a source."""
     x = F.concat(F.lit("Introduction to this\n### Abstract of it\nOverview of the guideline for all\n"), "text", F.lit(NOISE))
     docs = _docs(spark, d).select("doc_id", F.concat(F.lit("Title "), F.col("doc_id").cast("string")).alias("title"), x.alias("text"), F.concat(F.lit("http://x/"), F.col("doc_id").cast("string")).alias("url"))
     if name in ("mayo", "nice"):
         parts = F.array(F.struct(F.lit("Symptoms discussion").alias("name"), F.col("text").alias("body")), F.struct(F.lit("Update information").alias("name"), F.lit("gone").alias("body")))
         docs = docs.select("doc_id", F.col("title").alias("name"), parts.alias("content"), "url", F.lit("An overview").alias("overview"))
-    return guidelines.process(docs, name).select("doc_id", "source", "title", "clean_text", "url")
+    return docs
+
+
+def _guideline(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return guidelines.process(raw_articles(spark, d, name), name).select("doc_id", "source", "title", "clean_text", "url")
 
 
 def _processor(name: str):
