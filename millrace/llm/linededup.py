@@ -8,14 +8,15 @@ holds, as tables in one folder, only ever appended to:
 * filters (shard, version, blob): a cuckoo filter of the lines with a positive count; the last version counts;
 * drops (doc_id, text_key, line_no, sign): lines that documents lose now, +1 when an insertion drops one, -1 when a deletion
   gives it back;
-* log (version, shards, name, path): the files of each finished change. A store that is opened again reads it; files of a
+* log (version, shards, lines, name, path): the files of each finished change. A store that is opened again reads it; files of a
   change that was broken off are in no log and count for nothing.
 
 An insertion probes each shard's filter first: a miss is certainly new, and only hits (true ones and the few false
 ones) are looked up in refs. Each line without a positive count, a false hit too, gets a fingerprint of its own, so
 that no line leans on another's. A deletion appends negative references and takes the fingerprints of lines that reach
 zero out of the filters, which Bloom filters could not do; it looks only at lines of the documents that go. Shards are worked on
-independently and in parallel; their number follows the data, so a filter stays a few MB. A document's text is moved at most
+independently and in parallel; their number follows the lines held: a store that has grown beyond ``GROWTH`` times what its shards are
+for gets more, its filters built anew from the exact counts. So a filter stays a few MB. A document's text is moved at most
 once, to meet its verdicts.
 
 ``dedup_lines`` takes a table in ``BATCHES`` ranges of doc_id, each held against those before it. The query does so
@@ -42,7 +43,7 @@ from pyspark.sql import functions as F
 from .common import shared_dir, small, stage, table, text_key
 
 MIN_CHARS, BATCHES = 8, 2
-KEYS_A_SHARD = 250_000
+KEYS_A_SHARD, GROWTH = 250_000, 2
 #: Verdicts on at most so many documents (and four times as many lines) go to the documents by broadcast; more meet them in a shuffle, to the same effect.
 BROADCAST_ROWS = 200_000
 SLOTS = 4
@@ -193,18 +194,22 @@ def _filters(keys: DataFrame, filters: DataFrame, version: int) -> DataFrame:
 
 
 class LineStore:
-    """See the module. ``shards`` stays as it was when the store was made; a filter that runs full is built anew,
-    larger, from the exact counts. With the ``path`` of a store it goes on where that one ended."""
+    """See the module. A filter that runs full is built anew, larger, from the exact counts. With the ``path`` of a store it goes
+    on where that one ended."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, shards: int | None = None):
         self.spark, self.path, self.shards, self.version = spark, path or f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}", shards, 0
+        self.lines = 0  # at least as many as have references
         self._files: dict[str, list[str]] = {"postings": [], "refs": [], "filters": [], "drops": []}
         self._new: list[tuple[str, str]] = []
         log = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/log")
         if path and log.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(log):
-            for r in spark.read.parquet(f"{self.path}/log/*").orderBy("version").collect():  # a row a file
-                self._files[r["name"]].append(r["path"])
-                self.version, self.shards = max(self.version, r["version"]), r["shards"]
+            for r in spark.read.parquet(f"{self.path}/log/*").orderBy("version", F.col("path").isNotNull()).collect():  # a row a file
+                if r["path"] is None:
+                    self._files[r["name"]] = []
+                else:
+                    self._files[r["name"]].append(r["path"])
+                self.version, self.shards, self.lines = max(self.version, r["version"]), r["shards"], r["lines"]
 
     def _append(self, name: str, df: DataFrame) -> DataFrame:
         path = f"{self.path}/{name}/v{self.version}-{uuid.uuid4().hex}"
@@ -213,10 +218,10 @@ class LineStore:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def _commit(self) -> None:
-        rows = [(self.version, self.shards, name, path) for name, path in self._new]
-        self.spark.createDataFrame(rows, "version int, shards int, name string, path string").coalesce(1).write.parquet(f"{self.path}/log/v{self.version}-{uuid.uuid4().hex}")
-        for name, path in self._new:
-            self._files[name].append(path)
+        rows = [(self.version, self.shards, self.lines, name, path) for name, path in self._new]
+        self.spark.createDataFrame(rows, "version int, shards int, lines bigint, name string, path string").coalesce(1).write.parquet(f"{self.path}/log/v{self.version}-{uuid.uuid4().hex}")
+        for name, path in sorted(self._new, key=lambda x: x[1] is not None):
+            self._files[name] = [] if path is None else [*self._files[name], path]
         self._new = []
 
     def read(self, name: str) -> DataFrame | None:
@@ -254,11 +259,21 @@ class LineStore:
         self._append("filters", built.filter("blob is not null").select("shard", "version", "blob"))
         full = built.filter("blob is null").select("shard")
         if full.head(1):
-            refs = self.spark.read.parquet(*self._files["refs"], *[p for n, p in self._new if n == "refs"])
+            refs = self.spark.read.parquet(*self._files["refs"], *[p for n, p in self._new if n == "refs"]).withColumn("shard", _shard(self.shards))
             left = refs.join(full, "shard", "left_semi").groupBy("shard", "h1", "h2").agg(F.sum("delta").alias("delta")).filter("delta > 0")
             again = _filters(left, self.spark.createDataFrame([], "shard int, blob binary"), self.version)
             self._append("filters", again.select("shard", "version", "blob"))
 
+    def _reshard(self) -> None:
+        """More shards, of which each has a new filter of what the counts hold (without the change that is under way)."""
+        self.shards = -(-self.lines // KEYS_A_SHARD)
+        keys = self.counts().select(_shard(self.shards).alias("shard"), "h1", "h2", F.col("refs").alias("delta"))
+        built = stage(_filters(keys, self.spark.createDataFrame([], "shard int, blob binary"), self.version - 1), "resharded")
+        self._files["filters"] = []
+        self._new.append(("filters", None))
+        self._append("filters", built)
+        self._files["filters"].append(self._new[-1][1])
+
     def insert(self, docs: DataFrame) -> DataFrame:
         """Take in ``docs``; returns the postings that are dropped: (doc_id, text_key, line_no)."""
         self.version += 1
@@ -266,8 +281,11 @@ class LineStore:
         # rows that repeat one document hold one posting
         posted = self._append("postings", lines.distinct().withColumn("sign", F.lit(1)))
         per = stage(posted.groupBy("h1", "h2").agg(F.count("*").alias("delta"), F.min(_order()).alias("first")), "per")
+        self.lines += per.count()
         if self.shards is None:
-            self.shards = max(8, -(-posted.count() // KEYS_A_SHARD))
+            self.shards = max(8, -(-self.lines // KEYS_A_SHARD))
+        elif self._files["refs"] and self.lines > GROWTH * KEYS_A_SHARD * self.shards:
+            self._reshard()
         keys = self._append("refs", per.select(_shard(self.shards).alias("shard"), "h1", "h2", "delta"))
         held = None
         if not self._files["refs"]:

@@ -147,3 +147,18 @@ def test_a_store_is_opened_again(spark, tmp_path):
     third._append("refs", third.read("refs"))
     assert sorted(x.refs for x in LineStore(spark, path=path).counts().collect()) == [1, 1, 2]
     assert {(r.doc_id, r.line_no) for r in LineStore(spark, path=path).delete(brute.table(spark, [(1, "first line here\nsecond line here")])).collect()} == {(2, 0)}
+
+
+def test_a_store_that_grows_gets_more_shards(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(linededup, "KEYS_A_SHARD", 50)
+    path = str(tmp_path / "store")
+    store = LineStore(spark, path=path, shards=1)
+    make = lambda a, b: [(i, "\n".join(f"document {i} line {k}" for k in range(40))) for i in range(a, b)]
+    for a, b in ((0, 1), (1, 2), (2, 12), (12, 14)):
+        assert store.insert(brute.table(spark, make(a, b))).count() == 0
+    assert store.shards == 10 and store._current_filters().count() == 10
+    again = LineStore(spark, path=path)
+    assert (again.shards, again.lines) == (10, 560) and again._current_filters().count() == 10
+    assert again.insert(brute.table(spark, [(d + 100, t) for d, t in make(0, 14)])).count() == 560
+    again.delete(brute.table(spark, make(0, 14)))
+    assert again.insert(brute.table(spark, [(d + 200, t) for d, t in make(3, 5)])).count() == 80
