@@ -37,7 +37,7 @@ from .words import U64, WORD_RE2, Words, _powers, finish, ngram_hash, pieces, si
 
 LENGTH, ANCHOR = 50, 12
 #: Words to one suffix array; more pieces in a task go to further arrays, an anchor's pieces always to one.
-BATCH = 1_500_000
+BATCH = 500_000
 #: Distinct pieces of an anchor (of at most 88 words each) that one array takes.
 HOT = 10_000
 #: Fetch lists of at most so many documents are broadcast; longer ones meet the texts in a shuffle, to the same effect.
