@@ -252,6 +252,13 @@ class Likelihood:
         self.shapes = [(len(self.own), L), (len(self.near), L), (len(self.near), L), (L, L)]
         self.gold = np.zeros((S, T, L))
         self.gold[np.arange(S)[:, None], np.arange(T), y] = self.mask
+        self.both = (self.gold[:, :-1, :, None] * self.gold[:, 1:, None, :]).sum(axis=(0, 1))
+        by = np.argsort(self.feat, kind="stable")  # every feature occurs
+        self.place_by_feat, self.feat_at = self.place[by], np.searchsorted(self.feat[by], np.arange(len(self.own)))
+
+    def _sums(self, near: np.ndarray, g: np.ndarray) -> np.ndarray:
+        """Of the rows of g, by neighbour; rows beyond a sentence's end are 0."""
+        return np.stack([np.bincount(near.ravel(), g[:, y], len(self.near)) for y in range(len(LABELS))], axis=1)
 
     def parts(self, x: np.ndarray) -> list[np.ndarray]:
         cuts = np.cumsum([a * b for a, b in self.shapes])[:-1]
@@ -283,16 +290,15 @@ class Likelihood:
         p = a * b
         p = p / np.maximum(p.sum(axis=2, keepdims=True), 1e-300) * self.mask[:, :, None]
         g = self.gold - p
-        gw = np.zeros((len(self.own), L))
-        np.add.at(gw, self.feat, g.reshape(-1, L)[self.place])
-        gl, gr = np.zeros((len(self.near), L)), np.zeros((len(self.near), L))
-        np.add.at(gl, self.left[self.mask], g[self.mask])
-        np.add.at(gr, self.right[self.mask], g[self.mask])
-        pair = a[:, :-1, :, None] * M * (E[:, 1:] * b[:, 1:])[:, :, None, :]
-        pair = pair / np.maximum(pair.sum(axis=(2, 3), keepdims=True), 1e-300) * self.mask[:, 1:, None, None]
-        both = (self.gold[:, :-1, :, None] * self.gold[:, 1:, None, :]).sum(axis=(0, 1))
+        g2 = g.reshape(-1, L)
+        gw = np.add.reduceat(g2[self.place_by_feat], self.feat_at, axis=0)
+        gl, gr = (self._sums(near, g2) for near in (self.left, self.right))
+        v = E[:, 1:] * b[:, 1:]
+        z = np.maximum(((a[:, :-1] @ M) * v).sum(axis=2, keepdims=True), 1e-300)
+        pairs = M * ((a[:, :-1] / z * self.mask[:, 1:, None]).reshape(-1, L).T @ v.reshape(-1, L))
+        both = self.both
         value = (self.gold * e).sum() + (both * tr).sum() - logz.sum()
-        return value / S, np.concatenate([v.ravel() for v in (gw, gl, gr, both - pair.sum(axis=(0, 1)))]) / S
+        return value / S, np.concatenate([v.ravel() for v in (gw, gl, gr, both - pairs)]) / S
 
 
 def train(sentences: list[list[tuple[str, str]]], rounds: int = 120, rate: float = 0.2, l2: float = 1e-4) -> Crf:
