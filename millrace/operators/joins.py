@@ -78,9 +78,11 @@ def replace_source(old: DataFrame, new: DataFrame, source: str = "source") -> Da
     return old.join(new.select(source).distinct(), source, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def update_by_key(df: DataFrame, answers: DataFrame, key: str, value: str, order: str) -> DataFrame:
-    """``value`` for all rows of a key, from the last answer."""
-    last = dedup.first_by(answers, F.col(key), order, last=True).select(key, value)
+def update_by_key(df: DataFrame, answers: DataFrame, key: str, value: str, order: str, place: Sequence[str] = ()) -> DataFrame:
+    """``value`` for all rows of a key, from the last answer by ``order``, a whole number; what has no value or no order is no answer.
+    Of answers that tie the one least by ``place`` stays, or without it the one that the input has first."""
+    known = answers.filter(F.col(value).isNotNull() & F.col(order).isNotNull())
+    last = dedup.first_by(known, F.col(key), F.struct((-F.col(order).cast("decimal(20,0)")).alias("order"), *place)).select(key, value)
     return df.drop(value).join(last, key, "left")
 
 

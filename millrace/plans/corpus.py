@@ -107,8 +107,10 @@ def category_lookup(spark, d):
 
 @query("SELECT o_orderkey, v AS answer FROM orders LEFT JOIN (SELECT l_orderkey, arg_max(l_returnflag, l_linenumber) AS v FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey")
 def update_by_key(spark, d):
-    a = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_returnflag").alias("answer"), "l_linenumber")
-    return joins.update_by_key(table(spark, d, "orders").select("o_orderkey"), a, "o_orderkey", "answer", "l_linenumber")
+    # partitions follow the sizes of files, not their names, so a row's place is told by file and row
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
+    a = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_returnflag").alias("answer"), "l_linenumber", *place)
+    return joins.update_by_key(table(spark, d, "orders").select("o_orderkey"), a, "o_orderkey", "answer", "l_linenumber", ["file", "row"])
 
 
 @query("SELECT doc_id, source, kind FROM (SELECT doc_id, source, 'old' AS kind FROM documents WHERE source NOT IN ('src1', 'src2') UNION ALL SELECT doc_id, source, 'new' FROM documents WHERE source IN ('src1', 'src2') AND lang = 'en')")

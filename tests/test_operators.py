@@ -205,3 +205,23 @@ def test_selections():
             assert prompts.instruction(prompts.selected(kind, name).prompt)
     with pytest.raises(KeyError):
         prompts.selected("finetune", "blurb")
+
+
+def test_the_last_answer_follows_the_order_of_files_and_skips_nulls(spark, tmp_path):
+    """Files of growing sizes, so that partitions come in another order than files; a null is no answer."""
+    import duckdb
+    from millrace.plans import corpus, registry
+    from oracle import connect, same
+
+    con = duckdb.connect()
+    (tmp_path / "lineitem.parquet").mkdir()
+    con.execute(f"COPY (SELECT range AS o_orderkey FROM range(5)) TO '{tmp_path}/orders.parquet'")
+    for i in range(3):
+        rows = f"SELECT range % 4 AS l_orderkey, CASE WHEN range % 4 = 2 THEN NULL ELSE CAST(1 AS INTEGER) END AS l_linenumber, 'f{i}' AS l_returnflag FROM range({10 ** (i + 1)})"
+        rows += " UNION ALL SELECT 1, 2, NULL UNION ALL SELECT 3, NULL, 'n'"
+        con.execute(f"COPY ({rows}) TO '{tmp_path}/lineitem.parquet/part-{i}.parquet'")
+    duck = connect(str(tmp_path))
+    duck.execute("SET threads = 1")
+    got = corpus.update_by_key(spark, str(tmp_path))
+    assert {r.o_orderkey: r.answer for r in got.collect()} == {0: "f0", 1: "f0", 2: None, 3: "f0", 4: None}
+    same(got, duck, registry.oracle_sql()["update_by_key"])
