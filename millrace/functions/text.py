@@ -6,6 +6,7 @@ Java's ``(?U)``, and ``.`` stops at line feeds only, ``(?d)``.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
@@ -117,24 +118,58 @@ def clean(c: Column) -> Column:
     return strip(c)
 
 
+#: Characters that are, or hold, an ASCII letter in lower case: the dotted capital I and the Kelvin sign are two of them.
+LETTERS = "a-zA-Z\u0130\u212a"
+
+
+def letters_start(prefixes: Sequence[str]) -> str:
+    """The start of a text whose letters and spaces alone, in lower case and stripped, start with one of the prefixes; none if none can."""
+    own = [p for p in prefixes if re.fullmatch("[a-z](?:[a-z ]*)", p)]
+    at = {"i": "[iI\u0130]", "k": "[kK\u212a]", " ": " "}
+    one = lambda p: f"[^{LETTERS} ]*+".join(at.get(x, f"[{x}{x.upper()}]") for x in p) + (f"[^{LETTERS}]*+[{LETTERS}]" if p.endswith(" ") else "")
+    return f"[^{LETTERS}]*+(?:{'|'.join(map(one, own))})" if own else ""
+
+
+def line_start(prefixes: Sequence[str]) -> str:
+    """A pattern of the lines that start with one of the prefixes as they are, in lower case and stripped, without # besides, or with
+    letters only. It looks at a line's start alone: to make these forms takes many times as long as to find the lines."""
+    low = [p.lower() for p in prefixes]
+    if "" in low:
+        return "^"
+    code = lambda x: f"\\x{{{ord(x):x}}}"
+
+    def folded(p: str, gap: str) -> str:
+        # a dotted capital I is an i and a dot, so it can only be the last
+        cased = lambda x: x + x.upper() if len(x.upper()) == 1 else x
+        more = lambda i, x: "\u212a" if x == "k" else "\u0130" if x == "i" and i == len(p) - 1 else ""
+        return gap.join("[" + "".join(map(code, cased(x) + more(i, x))) + "]" for i, x in enumerate(p))
+
+    def stripped(p: str, also: str, gap: str) -> str:
+        return folded(p, gap) + (f"[{BLANKS}{also}]*+[^{BLANKS}{also}]" if p[-1] in BLANKS else "")
+
+    inner = [p for p in low if p[0] not in BLANKS]
+    forms = [
+        letters_start(low),
+        f"[{BLANKS}]*+(?:{'|'.join(stripped(p, '', '') for p in inner)})" if inner else "",
+        f"[{BLANKS}#]*+(?:{'|'.join(stripped(p, '#', '#*+') for p in inner if '#' not in p)})" if any("#" not in p for p in inner) else "",
+        *["".join(map(code, p)) for p in low if p[0] in BLANKS or p[-1] in BLANKS],
+    ]
+    return f"^(?:{'|'.join(f for f in forms if f)})"
+
+
+def at_least_words(c: Column, n: int) -> Column:
+    """Whether there are that many words; the rest of the text is not looked at."""
+    return c.rlike(f"[^{BLANKS}]" + f"[^{BLANKS}]*+[{BLANKS}]++[^{BLANKS}]" * (n - 1))
+
+
 def truncate(c: Column, starters: Sequence[str] = (), removers: Sequence[str] = (), stoppers: Sequence[str] = ()) -> Column:
     """From the first line that starts with a starter to the next that starts with a stopper, without lines that start
     with a remover or hold no letter. A line is looked at as it is, in lower case, without #, and with letters only.
     Without any starting line, or with a stopping line before it, the text counts from the top."""
 
-    def forms(x: Column) -> Column:
-        low = F.lower(x)
-        return F.struct(*[f.alias(f"f{i}") for i, f in enumerate((x, strip(low), strip(F.replace(low, F.lit("#"), F.lit(""))), strip(sub(low, "[^a-zA-Z ]"))))])
-
-    def any_of(f: Column, prefixes: Sequence[str]) -> Column:
-        out = F.lit(False)
-        for i in range(4) if prefixes else ():
-            out = out | starts_with_any(f[f"f{i}"], [p.lower() for p in prefixes])
-        return out
-
-    # one struct a line: each form is made once, however many prefixes it is held against, and each flag once
-    marks = lambda f: F.struct(f["f0"].alias("x"), any_of(f, starters).alias("s"), any_of(f, removers).alias("r"), any_of(f, stoppers).alias("p"), (f["f3"] == "").alias("b"))
-    marked = F.transform(lines(c), lambda x: let(forms(x), marks))
+    flag = lambda x, prefixes: x.rlike(line_start(prefixes)) if prefixes else F.lit(False)
+    marks = lambda x: F.struct(x.alias("x"), flag(x, starters).alias("s"), flag(x, removers).alias("r"), flag(x, stoppers).alias("p"), (~x.rlike(f"[{LETTERS}]")).alias("b"))
+    marked = F.transform(lines(c), marks)
 
     # places count from 1, 0 is none: where the text starts, and the first stop other than there
     start = lambda m: F.array_position(F.transform(m, lambda y: y.s), True) if starters else F.lit(0).cast("long")
@@ -236,7 +271,7 @@ def is_upper(c: Column) -> Column:
 
 def single_letter_words(c: Column) -> Column:
     """Whether all words have one character; true without words."""
-    return F.forall(words(c), lambda w: F.length(w) == 1)
+    return ~c.rlike(f"[^{BLANKS}][^{BLANKS}]")
 
 
 def letter(i: Column) -> Column:

@@ -109,7 +109,7 @@ class Article:
 Processor = Callable[[Article], dict[str, Column]]
 _first_line = lambda c: F.split(c, "\n")[0]
 _bare = lambda x: T.strip(F.replace(F.lower(x), F.lit("#"), F.lit("")))  # noqa: E731 - a line without its header marks
-_n_words = lambda x: F.size(T.words(T.strip(x)))
+_some_words = lambda x: T.at_least_words(x, 3)
 
 
 def _lines(c: Column, keep: Callable[[Column], Column], to: Callable[[Column], Column] = lambda x: x) -> Column:
@@ -143,7 +143,7 @@ def cco(a: Article) -> dict[str, Column]:
         PHRASES["cco"]["remove"],
     )
     bullet = lambda x: T.strip(x).startswith(T.BULLET)
-    keep = lambda x: bullet(x) | ((_n_words(x) >= 3) & x.rlike("[a-zA-Z]"))
+    keep = lambda x: bullet(x) | (_some_words(x) & x.rlike("[a-zA-Z]"))
     to = lambda x: F.when(bullet(x), F.concat(F.lit("- "), T.strip(F.substring(x, 2, 2**31 - 1)))).otherwise(T.sub(x, "^o ", "- "))
     return {"text": T.clean(_lines(body, keep, to))}
 
@@ -163,7 +163,7 @@ def cdc(a: Article) -> dict[str, Column]:
 
 def cdc_diseases(a: Article) -> dict[str, Column]:
     body = T.truncate(a.text, PHRASES["cdc_diseases"]["start"], PHRASES["cdc_diseases"]["remove"], PHRASES["cdc_diseases"]["stop"])
-    keep = lambda x: (_n_words(x) >= 3) & ~T.contains_any(x, PHRASES["cdc_diseases"]["remove"])
+    keep = lambda x: _some_words(x) & ~T.contains_any(x, PHRASES["cdc_diseases"]["remove"])
 
     def to(x: Column) -> Column:
         for old, new in (("+ ", "- "), ("**", ""), ("*", "- ")):
@@ -195,7 +195,7 @@ def cma_pdfs(a: Article) -> dict[str, Column]:
 def cps(a: Article) -> dict[str, Column]:
     drop = PHRASES["cps"]["remove"]
     body = T.truncate(a.text, PHRASES["cps"]["start"], drop, PHRASES["cps"]["stop"])
-    out = T.clean(_lines(body, lambda x: (_n_words(x) >= 3) & ~T.contains_any(x, drop), T.strip))
+    out = T.clean(_lines(body, lambda x: _some_words(x) & ~T.contains_any(x, drop), T.strip))
     return {"text": T.let(out, lambda x: F.when(F.size(T.lines(x)) >= 3, x))}
 
 
@@ -211,8 +211,8 @@ def gc(a: Article) -> dict[str, Column]:
     quotes = lambda c: F.replace(F.replace(c, F.lit('["'), F.lit("")), F.lit('"]'), F.lit(""))
     raw = F.when(named, F.substring(a.text, 7, 2**31 - 1)).otherwise(a.text)
     body = T.truncate(quotes(raw), PHRASES["gc"]["start"], PHRASES["gc"]["remove"], PHRASES["gc"]["stop"])
-    core = lambda x: T.sub(x, "[^a-zA-Z0-9]")
-    head = lambda x: T.let(core(x), lambda k: T.is_upper(k) & (F.length(k) > 2))
+    # at least three ASCII letters and digits, among them a letter and none of lower case
+    head = lambda x: ~x.rlike("[a-z]") & x.rlike("[A-Z]") & x.rlike("[A-Z0-9](?:[^A-Z0-9]*+[A-Z0-9]){2}")
     rows = F.filter(F.transform(T.lines(body), T.strip), lambda x: x != "(c)")
     out = T.clean(T.unlines(F.transform(rows, lambda x: F.when(head(x), F.concat(F.lit("\n# "), x)).otherwise(x))))
     return {"title": quotes(F.when(named, "").otherwise(T.strip(a.title))), "text": T.let(out, lambda x: F.when(enough(x, 3), x))}
@@ -232,11 +232,12 @@ def idsa(a: Article) -> dict[str, Column]:
         PHRASES["idsa"]["remove"],
         PHRASES["idsa"]["stop"],
     )
-    numbered = lambda b: T.is_digits(F.split(b, r"\.")[0])
+    # whether the bare line has digits alone before its first full stop
+    numbered = lambda x: x.rlike(rf"(?U)^[{T.BLANKS}#]*+\d[\d#]*+(?:\.|[{T.BLANKS}#]*+\z)")
     # of a number without a full stop all but nothing is cut, as for any other
     after = lambda x, b: T.strip(F.substring(x, F.instr(b, ".") + 1, F.length(x)))
-    keep = lambda x, low: T.let(_bare(x), lambda b: numbered(b) | ~low.startswith(b))
-    to = lambda x: T.let(_bare(x), lambda b: F.when(numbered(b), F.concat(F.lit("- "), after(x, b))).otherwise(x))
+    keep = lambda x, low: numbered(x) | ~low.startswith(_bare(x))
+    to = lambda x: F.when(numbered(x), F.concat(F.lit("- "), after(x, _bare(x)))).otherwise(x)
     rows = T.let(F.lower(title), lambda low: _lines(body, lambda x: keep(x, low), to))
     out = F.concat(title, F.lit("\n\n"), rows)
     for old, new in ((" ,", ""), (" .", "."), ("*", ""), (" )", ""), ("-. ", "- ")):
@@ -273,12 +274,12 @@ def magic(a: Article) -> dict[str, Column]:
     for old, new in (("\n**", "\n## "), ("*", ""), ("\n(", "("), ("\n)", ")"), ("\n;", ";")):
         body = F.replace(body, F.lit(old), F.lit(new))
     drop = PHRASES["magic"]["sections"]
-    head = lambda x: T.strip(T.sub(F.lower(_first_line(x)), "[^a-zA-Z ]"))
-    sections = F.filter(F.split(T.strip(body), "\n\n"), lambda x: ~T.starts_with_any(head(x), drop))
+    sections = F.filter(F.split(T.strip(body), "\n\n"), lambda x: ~_first_line(x).rlike("^" + T.letters_start(drop)))
     body = F.array_join(F.transform(sections, lambda x: F.concat(x, F.lit("\n\n"))), "")
-    core = lambda x: T.strip(T.sub(F.lower(x), "[^a-zA-Z0-9 ]"))
+    # of ASCII letters, digits and spaces, digits alone that no space parts
+    number = lambda x: x.rlike(f"^[^{T.LETTERS}0-9]*+[0-9][^{T.LETTERS} ]*+(?: [^{T.LETTERS}0-9]*+)?\\z")
     long_head = lambda x: x.startswith("#") & (F.size(F.split(x, " ")) > 7)
-    rows = _lines(body, lambda x: ~x.startswith("!") & ~T.is_digits(core(x)), lambda x: F.when(long_head(x), T.strip(F.replace(x, F.lit("#"), F.lit("")))).otherwise(x))
+    rows = _lines(body, lambda x: ~x.startswith("!") & ~number(x), lambda x: F.when(long_head(x), T.strip(F.replace(x, F.lit("#"), F.lit("")))).otherwise(x))
     return {"text": T.clean(rows)}
 
 
@@ -301,12 +302,12 @@ def rch(a: Article) -> dict[str, Column]:
 
 def spor(a: Article) -> dict[str, Column]:
     body = F.replace(F.replace(T.truncate(a.text, stoppers=PHRASES["spor"]["stop"]), F.lit("|"), F.lit("")), F.lit("---"), F.lit("\n"))
-    return {"text": T.clean(_lines(body, lambda x: _n_words(x) >= 3, T.strip))}
+    return {"text": T.clean(_lines(body, _some_words, T.strip))}
 
 
 def who(a: Article) -> dict[str, Column]:
     body = T.truncate(a.text, PHRASES["who"]["start"], PHRASES["who"]["remove"], PHRASES["who"]["stop"])
-    rows = _lines(body, lambda x: _n_words(x) >= 3, lambda x: T.strip(F.replace(x, F.lit(T.BULLET + " "), F.lit("- "))))
+    rows = _lines(body, _some_words, lambda x: T.strip(F.replace(x, F.lit(T.BULLET + " "), F.lit("- "))))
     return {"text": T.clean(F.translate(rows, "\ue031", ""))}
 
 
