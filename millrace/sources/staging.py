@@ -46,6 +46,11 @@ def broadcast_if_small(keys: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A scan of fewer partitions than half the cores (one file of one row group) over all of them; any other as it is."""
-    sc = df.sparkSession.sparkContext
-    return df.repartition(sc.defaultParallelism) if df._jdf.rdd().getNumPartitions() * 2 <= sc.defaultParallelism else df
+    """A scan whose largest partition holds twice a core's share of the rows or more over all cores; any other as it is. Partitions are
+    counted by rows: a file of one row group is cut into several, of which all but one are empty."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    n = df._jdf.rdd().getNumPartitions()
+    if n * 2 > cores and n < 4 * cores:
+        rows = [r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        return df.repartition(cores) if max(rows, default=0) * cores >= 2 * sum(rows) > 0 else df
+    return df.repartition(cores) if n * 2 <= cores else df
