@@ -9,12 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.staging import shared_dir, spread, stage  # noqa: F401 - the operators take them from here
-
-#: Bytes of an Arrow batch that goes to a Python worker, so that its memory follows neither the number of rows in a batch nor
-#: their length (one row that is longer goes alone). A session that has set its own bound keeps it.
-BATCH_BYTES = 8 << 20
-_ARROW_BYTES, _ARROW_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+from ..sources.staging import BATCH_BYTES, bound_batches, shared_dir, spread, stage  # noqa: F401 - the operators take them from here
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,9 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
     """``df.mapInArrow`` in batches of bounded bytes; what a worker's pool has kept is given back after its last batch."""
-    spark = df.sparkSession
-    if spark.conf.get(_ARROW_BYTES) == _ARROW_DEFAULT:
-        spark.conf.set(_ARROW_BYTES, str(BATCH_BYTES))
+    bound_batches(df.sparkSession)
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)

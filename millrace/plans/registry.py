@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.staging import spread
+from ..sources.staging import bound_batches, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "guideline_build"
@@ -29,6 +29,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return spread(df) if name in ("documents", "pages") else df  # the work on texts is large against their reading
 

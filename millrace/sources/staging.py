@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 #: A staged table of keys of at most so many rows (and 64 bytes a row) is broadcast.
 BROADCAST_ROWS = 200_000
+#: Bytes of an Arrow batch that goes to a Python worker, so that its memory follows neither the number of rows in a batch nor
+#: their length (one row that is longer goes alone). A session that has set its own bound keeps it.
+BATCH_BYTES = 8 << 20
+_ARROW_BYTES, _ARROW_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 _folders: dict[str, str] = {}
 
 
@@ -54,3 +58,9 @@ def spread(df: DataFrame) -> DataFrame:
         rows = [r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()]
         return df.repartition(cores) if max(rows, default=0) * cores >= 2 * sum(rows) > 0 else df
     return df.repartition(cores) if n * 2 <= cores else df
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of this session that go to Python get a bound in bytes, unless it has set its own."""
+    if spark.conf.get(_ARROW_BYTES) == _ARROW_DEFAULT:
+        spark.conf.set(_ARROW_BYTES, str(BATCH_BYTES))
