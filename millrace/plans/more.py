@@ -12,7 +12,7 @@ from ..operators import evaluation as E
 from ..operators import dedup, guidelines, html, joins, lang, scoring, standoff
 from ..operators import prompts as P
 from ..sources import io
-from ..sources.staging import shared_dir
+from ..sources.staging import shared_dir, spread
 from ..streaming import streams
 from . import processors_sql
 from . import sql as S
@@ -359,7 +359,7 @@ def small_predicates(spark, d):
 @query("SELECT p_partkey, CAST(p_partkey AS VARCHAR) AS pmid, p_type || ',' || p_name AS mesh, p_brand AS types FROM part")
 def xml_fields(spark, d):
     x = F.concat(F.lit("<PubmedArticle><PMID>"), F.col("p_partkey").cast("string"), F.lit("</PMID><MeshHeading><DescriptorName>"), "p_type", F.lit("</DescriptorName><Q>no</Q></MeshHeading><MeshHeading><D>"), "p_name", F.lit("</D></MeshHeading><PublicationType>"), "p_brand", F.lit("</PublicationType></PubmedArticle>"))
-    p = table(spark, d, "part").select("p_partkey", x.alias("x"))
+    p = spread(table(spark, d, "part")).select("p_partkey", x.alias("x"))  # parsing is large against reading
     return p.select("p_partkey", F.xpath_string("x", F.lit("//PMID")).alias("pmid"), F.array_join(F.xpath("x", F.lit("//MeshHeading/*[1]/text()")), ",").alias("mesh"), F.array_join(F.xpath("x", F.lit("//PublicationType/text()")), ",").alias("types"))
 
 

@@ -51,3 +51,12 @@ def test_batches_of_text_queries_are_bounded(spark, tmp_path):
 def test_conversion_of_nulls_and_empty_articles(spark, tmp_path):
     spark.createDataFrame([(1, None), (2, ""), (3, "<h2>A</h2><p>b</p>")], "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
     assert {r.page_id: r.text for r in plans._html("patient")(spark, str(tmp_path)).collect()} == {1: None, 2: "", 3: "A\nb"}
+
+
+def test_xml_is_parsed_on_all_cores(spark, tmp_path):
+    """A table of one partition, however small, is not parsed by one core."""
+    spark.range(400).selectExpr("id AS p_partkey", "concat('n', id) AS p_name", "'t' AS p_type", "'b' AS p_brand").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    out = registry.queries()["xml_fields"](spark, str(tmp_path))
+    rows = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(rows) == 400 and max(rows) * spark.sparkContext.defaultParallelism < 800
+    assert tuple(out.filter("p_partkey = 7").first()) == (7, "7", "t,n7", "b")
