@@ -98,11 +98,12 @@ def normalize_lists(c: Column) -> Column:
 
 
 def remove_weird_chars(c: Column) -> Column:
-    c = F.translate(c, f"◆{BULLET}{PRIVATE_BULLET}▪■□", "")
+    for x in ("◆", BULLET, PRIVATE_BULLET, *"▪■□"):  # a replacement each takes less time than one translation
+        c = F.replace(c, F.lit(x), F.lit(""))
     c = F.replace(c, F.lit("*-"), F.lit(""))
     c = F.replace(c, F.lit("\n>"), F.lit("\n"))
     c = F.replace(c, F.lit("**"), F.lit(""))
-    return F.translate(c, "�", "")
+    return F.replace(c, F.lit("�"), F.lit(""))
 
 
 def normalize_newlines(c: Column) -> Column:

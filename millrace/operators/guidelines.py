@@ -308,7 +308,7 @@ def spor(a: Article) -> dict[str, Column]:
 def who(a: Article) -> dict[str, Column]:
     body = T.truncate(a.text, PHRASES["who"]["start"], PHRASES["who"]["remove"], PHRASES["who"]["stop"])
     rows = _lines(body, _some_words, lambda x: T.strip(F.replace(x, F.lit(T.BULLET + " "), F.lit("- "))))
-    return {"text": T.clean(F.translate(rows, "\ue031", ""))}
+    return {"text": T.clean(F.replace(rows, F.lit("\ue031"), F.lit("")))}
 
 
 def wikidoc(a: Article) -> dict[str, Column]:
